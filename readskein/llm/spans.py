@@ -4,8 +4,8 @@ Rounds alternately name runs of one symbol and pairs of adjacent symbols (left c
 64-bit hash of what it stands for, so it is the same in every partition and needs no shuffle. Of each symbol the
 stretch of text that alone decides it is known (its context); a symbol whose context lies inside a window occurs
 at the same place in every window of equal text. Each window of the least length is put under its highest-level
-such symbol (the leftmost of them), which depends on the window's text alone. Symbols occurring in one record
-only reveal that none of their windows is shared; the windows of the others are compared exactly, as numbers
+such symbol (the leftmost of them), which depends on the window's text alone. Symbols that occur with the same
+context in one record only reveal that none of their windows is shared; the windows of the others are compared exactly, as numbers
 holding all their characters.
 """
 
@@ -23,7 +23,7 @@ from ..session import Durable
 from .bases import flat, mix, packed, windows_ok
 
 #: Rounds of naming; higher symbols stand for longer stretches, and windows without one fall back to lower ones.
-ROUNDS = 9
+ROUNDS = 6
 _FAR = np.int64(1) << np.int64(60)
 
 
@@ -79,6 +79,23 @@ def _pairs(name, low, high, part, level):
     return named[keep], new_low[keep], new_high[keep], part[keep]
 
 
+def _texts(codes: np.ndarray):
+    """A function giving a hash of the text of each stretch (low, high)."""
+    base = 0x9E3779B97F4A7C15
+    n = len(codes)
+    with np.errstate(over="ignore"):
+        power = np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]).cumprod(dtype=np.uint64)
+        inverse = np.concatenate([np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)]).cumprod(dtype=np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(5)) * power[:n], out=sums[1:])
+
+    def text(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64)
+
+    return text
+
+
 def anchors(codes: np.ndarray, offsets: np.ndarray, span: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, count, symbol): ``count`` windows from ``start`` (absolute) on are put under ``symbol``."""
     starts, rows = windows_ok(codes, offsets, span)
@@ -96,6 +113,7 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, span: int, rounds: int = ROU
         name, low, high, part = _runs(name, low, high, part, level)
         name, low, high, part = _pairs(name, low, high, part, level)
         levels.append((name, low, high))
+    text = _texts(codes)
     symbol, chosen = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int64)
     open_ = np.arange(len(starts))
     for level in range(rounds, -1, -1):
@@ -109,7 +127,8 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, span: int, rounds: int = ROU
         fits = (low[k] >= s) & (high[k] <= s + span)
         hit = open_[fits]
         with np.errstate(over="ignore"):
-            symbol[hit] = mix(name[k[fits]] + np.uint64(level) * np.uint64(0xA24BAED4963EE407))
+            # the text of its context is the same wherever the window is, so it makes the symbol more telling
+            symbol[hit] = mix(name[k[fits]] + np.uint64(level) * np.uint64(0xA24BAED4963EE407)) ^ mix(text(low[k[fits]], high[k[fits]]))
         chosen[hit] = k[fits] * (rounds + 1) + level
         open_ = open_[~fits]
         if not len(open_):
