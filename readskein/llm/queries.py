@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .frequency import word_marks
 from .groups import read_groups
+from .leakage import leaked_items
 from .neardup import base_words, expand_pairs, similar_records
 from .spans import shared_spans
 
@@ -31,8 +32,12 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return word_marks(table(spark, base, "wordlists")).where("mark is not null").select(F.col("word").cast("int").alias("word"), "mark")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 
 P1_SQL = """
