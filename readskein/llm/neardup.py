@@ -3,7 +3,9 @@
 Every record has ``trees`` signatures of up to ``depth`` minimum hashes; sorted by their hashes the signatures of
 one tree are a trie, and records meeting in a node of depth d are candidates. The prefix that has to match is
 shortened from ``depth`` on until the expected recall at the threshold, 1 - (1 - t^d)^trees, reaches the target;
-if no prefix does, trees are added. Candidates are verified exactly on their word sets.
+if no prefix does, trees are added. One bit of each minimum hash makes a sketch; candidates whose sketches agree
+in far fewer bits than records at the threshold would (beyond ``SIGMAS`` standard deviations), or whose numbers of
+words differ too much for the threshold, are dropped, and the rest are verified exactly on their word sets.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from .bases import canonical, flat, mix
 from .spans import _slices
 
 DEPTH = 4
-TREES = 24
+TREES = 52
 RECALL = 0.999
+SIGMAS = 3.5
 
 
 def forest_shape(threshold: float, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> tuple[int, int]:
@@ -33,22 +36,35 @@ def forest_shape(threshold: float, recall: float = RECALL, trees: int = TREES, d
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1
 
 
-def signatures(words: np.ndarray, row: np.ndarray, n_rows: int, trees: int, prefix: int) -> np.ndarray:
-    """Node of each tree at the given prefix for each row, as 64-bit hashes; rows must be ascending and none empty."""
+def sketch_limit(bits: int, threshold: float, sigmas: float = SIGMAS) -> int:
+    """Most unequal bits of two sketches of records at the threshold, but for a chance of some thousandths."""
+    unequal = (1 - threshold) / 2
+    return math.ceil(bits * unequal + sigmas * math.sqrt(bits * unequal * (1 - unequal)))
+
+
+def signatures(words: np.ndarray, row: np.ndarray, n_rows: int, trees: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node of each tree at the given prefix for each row, words of 64 sketch bits of each row).
+
+    Rows must be ascending and none empty.
+    """
     starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     x = mix(words.astype(np.uint64) + np.uint64(1))
     out = np.zeros((n_rows, trees), np.uint64)
+    bits = np.zeros((n_rows, -(-trees * prefix // 64)), np.uint64)
     seeds = mix(np.arange(1, 2 * trees * prefix + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    hashes = np.empty_like(x)
     with np.errstate(over="ignore"):
         for t in range(trees):
             node = np.full(n_rows, t + 1, np.uint64)
             for d in range(prefix):
                 i = t * prefix + d
-                hashes = x * seeds[2 * i] + seeds[2 * i + 1]
-                hashes ^= hashes >> np.uint64(32)
-                node = mix(node * np.uint64(31) + np.minimum.reduceat(hashes, starts))
+                np.multiply(x, seeds[2 * i], out=hashes)
+                np.add(hashes, seeds[2 * i + 1], out=hashes)
+                least = mix(np.minimum.reduceat(hashes, starts))
+                node = mix(node * np.uint64(31) + least)
+                bits[:, i // 64] |= (least & np.uint64(1)) << np.uint64(i % 64)
             out[:, t] = node
-    return out
+    return out, bits
 
 
 def base_words(k: int, least: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
@@ -106,6 +122,7 @@ def similar_records(records: DataFrame, words: Callable, id: str = "seq_id", tex
     where a node holds many records.
     """
     trees, prefix = forest_shape(threshold, recall, trees, depth)
+    sketch = [f"s{i}" for i in range(-(-trees * prefix // 64))]
     durable = Durable(records.sparkSession, "neardup")
     rows = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).dropna().distinct()
 
@@ -116,22 +133,27 @@ def similar_records(records: DataFrame, words: Callable, id: str = "seq_id", tex
                 if not len(word):
                     continue
                 which, row = np.unique(row, return_inverse=True)
-                nodes = signatures(word, row, len(which), trees, prefix)
+                nodes, bits = signatures(word, row, len(which), trees, prefix)
                 starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 with np.errstate(over="ignore"):
                     one = np.add.reduceat(mix(word.astype(np.uint64) + np.uint64(77)), starts)
                     two = np.add.reduceat(mix(word.astype(np.uint64) ^ np.uint64(0x5DEECE66D)), starts)
                 lists = pa.ListArray.from_arrays(np.arange(0, nodes.size + 1, trees, dtype=np.int32), pa.array(nodes.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[which]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["id", "one", "two", "nodes"])
+                flat_ = [part.column(0).to_numpy()[which], one.view(np.int64), two.view(np.int64), np.diff(np.append(starts, len(row))).astype(np.int32)]
+                flat_ += [np.ascontiguousarray(bits[:, i]).view(np.int64) for i in range(len(sketch))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, flat_), lists], ["id", "one", "two", "size", *sketch, "nodes"])
 
-    signed, _ = durable.keep(rows.mapInArrow(sign, "id bigint, one bigint, two bigint, nodes array<bigint>"))
+    signed, _ = durable.keep(rows.mapInArrow(sign, f"id bigint, one bigint, two bigint, size int, {', '.join(f'{c} bigint' for c in sketch)}, nodes array<bigint>"))
     reps = signed.groupBy("one", "two").agg(F.min("id").alias("rep"))
     members, _ = durable.keep(signed.select("id", "one", "two").join(reps, ["one", "two"]).groupBy("id").agg(F.min("rep").alias("rep")))
-    leaders = signed.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", F.explode("nodes").alias("node"))
+    leaders = signed.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "size", *sketch, F.explode("nodes").alias("node"))
     # Nodes of a single record are dropped before the join; what is left is small.
     met = leaders.groupBy("node").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("node")
     met, _ = durable.keep(leaders.join(met, "node", "left_semi"))
-    pairs = met.select(F.col("id").alias("a"), "node").join(met.select(F.col("id").alias("b"), "node"), "node").where("a < b").select("a", "b").distinct()
+    other = met.select("node", *[F.col(c).alias(f"{c}_") for c in ("id", "size", *sketch)])
+    unequal = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in sketch), F.lit(0))
+    alike = (unequal <= sketch_limit(trees * prefix, threshold)) & (F.least("size", "size_") >= F.greatest("size", "size_") * threshold)
+    pairs = met.join(other, "node").where((F.col("id") < F.col("id_")) & alike).select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
     pairs, _ = durable.keep(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts, _ = durable.keep(rows.join(needed, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
