@@ -11,7 +11,9 @@ from ..session import table
 from .frequency import word_marks
 from .groups import read_groups
 from .leakage import leaked_items
+from .mixing import Mixture
 from .neardup import base_words, expand_pairs, similar_records
+from .privacy import personal_items, redacted
 from .spans import shared_spans
 
 
@@ -36,8 +38,30 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
 
 
+def _mixture(spark: SparkSession, base: str) -> Mixture:
+    return Mixture(table(spark, base, "documents"), table(spark, base, "mixture"))
+
+
+def p7_mixed(spark: SparkSession, base: str) -> DataFrame:
+    """The mixture itself: the documents' texts, as often as drawn, in random order."""
+    return _mixture(spark, base).documents_mixed().select("place", "doc_id", "copy", "source", "text")
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return _mixture(spark, base).shares()
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return personal_items(table(spark, base, "documents")).select("doc_id", "kind", "value").distinct()
+
+
+def p8_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return redacted(table(spark, base, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+    own = (p1_found, p3_found, p4_found, p5_found, p6_found, p7_mixed, p7_shares, p8_found, p8_redacted)
+    return {q.__name__: q for q in own}
 
 
 P1_SQL = """
