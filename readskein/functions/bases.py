@@ -66,18 +66,17 @@ def steady_bases(bases: Column | str, id: Column | str) -> Column:
 
 
 def words(bases: Column | str, k: int) -> Column:
-    """All overlapping words of k characters, in order; empty for shorter strings and null for null."""
-    b = _c(bases)
-    return F.when(F.length(b) >= k, F.transform(F.sequence(F.lit(1), F.length(b) - k + 1), lambda p: F.substr(b, p, F.lit(k)))).when(
-        b.isNotNull(), F.array().cast("array<string>")
-    )
+    """All overlapping words of k characters, in order; empty for shorter strings and null for null.
+
+    One pass of a look-ahead pattern: a lambda over places would evaluate the string's own expression for each word.
+    """
+    return F.regexp_extract_all(_c(bases), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def sample_words(bases: Column | str) -> Column:
     """The words of 8 bases at 0-based places 8k, 1 <= k <= length div 8 - 2."""
-    b = _c(bases)
-    last = F.floor(F.length(b) / 8) - 2
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1).cast("bigint"), last), lambda k: F.substr(b, (k * 8 + 1).cast("int"), F.lit(8)))).otherwise(F.array().cast("array<string>"))
+    blocks = F.regexp_extract_all(_c(bases), F.lit("(?s)(.{8})"), F.lit(1))
+    return F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 2, F.lit(0)))
 
 
 def simple_word(word: Column | str, share: int = 3) -> Column:

@@ -20,51 +20,51 @@ from ..session import Durable
 CHUNK_ROWS = 65536
 
 
+def _numbered(df: DataFrame, key: str, order: Sequence[str], size: int) -> DataFrame:
+    """(row, key, number, chunk) with the whole row as a struct, so that its columns can have any names."""
+    at = ["key", *(f"order{i}" for i in range(len(order)))]
+    packed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(key).alias("key"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)])
+    placed = packed.repartitionByRange(*at).sortWithinPartitions(*at).select("row", "key", F.monotonically_increasing_id().alias("id"))
+    # Written once: numbers stay the same whatever is computed again later.
+    placed, _ = Durable(df.sparkSession, "chunks").keep(placed)
+    placed = placed.withColumn("part", F.shiftright("id", 33))
+    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    joined = placed.join(offsets, F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+    number = F.col("offset") + F.col("id") - F.col("first")
+    return joined.select("row", "key", number.alias("number")).withColumn("chunk", F.floor(F.col("number") / size).cast("bigint"))
+
+
 def number_in_key(df: DataFrame, key: str, order: Sequence[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``_number`` (0-based rank within ``key`` by ``order``) and ``_chunk`` (``_number`` div ``size``).
 
     Rows with null ``key`` form a key of their own; nulls in ``order`` come first; rows equal in key and
-    order are numbered in an arbitrary but fixed order. An empty table stays empty. The input must not have
-    columns beginning with an underscore; other columns pass through unchanged.
+    order are numbered in an arbitrary but fixed order. An empty table stays empty. Other columns pass through
+    unchanged, whatever their names, but columns named like the two added ones are replaced.
     """
-    spark = df.sparkSession
-    at = [F.col(c) for c in (key, *order)]
-    placed = df.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("_id", F.monotonically_increasing_id())
-    # Written once: numbers stay the same whatever is computed again later.
-    placed, _ = Durable(spark, "chunks").keep(placed)
-    placed = placed.withColumn("_part", F.shiftright("_id", 33))
-    counts = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(key).alias("_key"), F.col("_part").alias("_at"), "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    numbered = placed.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
-    number = F.col("_offset") + F.col("_id") - F.col("_first")
-    return numbered.withColumn("_number", number).withColumn("_chunk", F.floor(number / size).cast("bigint")).drop(
-        "_id", "_part", "_key", "_at", "_first", "_offset"
-    )
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("_number", "_chunk")]
+    return _numbered(df, key, order, size).select(*kept, F.col("number").alias("_number"), F.col("chunk").alias("_chunk"))
 
 
 def next_in_key(df: DataFrame, key: str, order: str, out: Column | str, name: str = "link", size: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``name``: ``out`` of the next row of the same key by ``order``; null on the key's last row.
 
-    Nulls, ties and empty input as in ``number_in_key``.
+    Nulls, ties, empty input and other columns as in ``number_in_key``; a column named ``name`` is replaced.
     """
     value = F.col(out) if isinstance(out, str) else out
-    numbered = number_in_key(df.withColumn("_value", value), key, [order], size)
-    inside = Window.partitionBy(key, "_chunk").orderBy("_number")
-    linked = numbered.withColumn("_next", F.lead(F.struct("_value")).over(inside))
+    rest = [c for c in df.columns if c != name]
+    wrapped = df.select(F.struct(*[F.col(c) for c in rest]).alias("inner"), value.alias("value"), F.col(key).alias("key"), F.col(order).alias("order"))
+    numbered = _numbered(wrapped, "key", ["order"], size).select("row", "key", "number", "chunk")
+    inside = Window.partitionBy("key", "chunk").orderBy("number")
+    linked = numbered.withColumn("next", F.lead(F.struct(F.col("row.value").alias("value"))).over(inside))
     # The first row of each later chunk is the successor of the last row of the chunk before.
-    first = numbered.where((F.col("_number") % size == 0) & (F.col("_chunk") > 0)).select(
-        F.col(key).alias("_key"), (F.col("_chunk") - 1).alias("_before"), F.col("_value").alias("_boundary")
-    )
-    last = linked.where(F.col("_next").isNull())
-    last = last.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_before")), "left")
-    cols = [F.col(c) for c in df.columns]
-    return linked.where(F.col("_next").isNotNull()).select(*cols, F.col("_next._value").alias(name)).unionByName(
-        last.select(*cols, F.col("_boundary").alias(name))
+    first = numbered.where((F.col("number") % size == 0) & (F.col("chunk") > 0)).select(
+        F.col("key").alias("k"), (F.col("chunk") - 1).alias("before"), F.col("row.value").alias("boundary")
     )
+    last = linked.where(F.col("next").isNull()).join(first, F.col("key").eqNullSafe(F.col("k")) & (F.col("chunk") == F.col("before")), "left")
+    cols = [F.col("row.inner").getField(c).alias(c) for c in rest]
+    return linked.where(F.col("next").isNotNull()).select(*cols, F.col("next.value").alias(name)).unionByName(last.select(*cols, F.col("boundary").alias(name)))
 
 
 def current_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -52,8 +52,13 @@ def active_reads(reads: DataFrame, constraints: DataFrame | None) -> DataFrame:
 
 
 def reset_clusters(init: DataFrame, listed: DataFrame) -> DataFrame:
-    """The clustering after the listed reads have left their clusters, each for one of its own."""
+    """The clustering after the listed reads have left their clusters, each for one of its own.
+
+    What is left of a cluster is named by its least read, which keeps it apart from a read that gave it its name.
+    """
     stay = init.join(listed.select("seq_id").distinct(), "seq_id", "left_anti").select("seq_id", "cluster_id")
+    least = stay.groupBy("cluster_id").agg(F.min("seq_id").alias("least"))
+    stay = stay.join(least, "cluster_id").select("seq_id", F.col("least").alias("cluster_id"))
     gone = init.join(listed.select("seq_id").distinct(), "seq_id", "left_semi").select("seq_id", F.col("seq_id").alias("cluster_id"))
     return stay.unionByName(gone)
 

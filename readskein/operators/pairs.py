@@ -9,12 +9,23 @@ from ..config import ClusterConfig
 from ..functions.bases import reverse_complement, sample_words, words
 
 
+def spread(reads: DataFrame, *columns: str) -> DataFrame:
+    """Reads over all shuffle partitions by seq_id, before their words multiply them.
+
+    Partitions of bases are small, and adaptive execution would join them into few; an explicit number keeps them
+    apart. Grouping by (seq_id, word) then needs no further shuffle.
+    """
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reads.select("seq_id", *columns).repartition(n, "seq_id")
+
+
 def word_table(reads: DataFrame, k: int, both_strands: bool) -> DataFrame:
     """(seq_id, word, n, first, last): words of each read with number and outermost places; with ``both_strands``
     also those of its reverse complement. Counted before anything is shuffled."""
-    forward = reads.select("seq_id", F.posexplode(words("bases", k)).alias("pos", "word"))
+    wide = spread(reads, "bases")
     if both_strands:
-        forward = forward.unionByName(reads.select("seq_id", F.posexplode(words(reverse_complement("bases"), k)).alias("pos", "word")))
+        wide = wide.select("seq_id", F.explode(F.array("bases", reverse_complement("bases"))).alias("bases"))
+    forward = wide.select("seq_id", F.posexplode(words("bases", k)).alias("pos", "word"))
     return forward.groupBy("seq_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
@@ -55,9 +66,11 @@ def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None
     This is the all-pairs search: it finds by an equi-join exactly the pairs that the sample filter lets through.
     """
     long = reads.where(F.length("bases") >= config.window_len).select("seq_id", "bases")
-    own = long.select("seq_id", F.explode(F.array_distinct(words("bases", 8))).alias("word")).withColumn("strand", F.lit(1))
+    long = spread(long, "bases")
+    sides = [F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b"))]
     if config.rc_check:
-        own = own.unionByName(long.select("seq_id", F.explode(F.array_distinct(words(reverse_complement("bases"), 8))).alias("word")).withColumn("strand", F.lit(-1)))
+        sides.append(F.struct(F.lit(-1).alias("strand"), reverse_complement("bases").alias("b")))
+    own = long.select("seq_id", F.explode(F.array(*sides)).alias("s")).select("seq_id", "s.strand", F.explode(F.array_distinct(words("s.b", 8))).alias("word"))
     samples = long.select("seq_id", F.explode(sample_words("bases")).alias("word")).groupBy("seq_id", "word").agg(F.count("*").alias("n"))
     if left is not None:
         own = own.join(left.select("seq_id").distinct(), "seq_id", "left_semi")

@@ -15,7 +15,7 @@ from ..operators import reports as R
 from ..operators.chunks import members_with_successor
 from ..operators.components import apart_labels, min_labels, signed_labels
 from ..operators.distance import scored_pairs
-from ..operators.pairs import candidates, ranged, sample_hits, stepped, word_table
+from ..operators.pairs import candidates, ranged, sample_hits, spread, stepped, word_table
 from ..session import Durable, table
 from ..sources import files as S
 from ..sources.tables import asked_reads, clean_edges, clean_reads, forest_clustering
@@ -111,13 +111,13 @@ def kmer_explode(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def sample_word_numbers(spark: SparkSession, base: str) -> DataFrame:
-    words = reads_of(spark, base).select("seq_id", F.posexplode(B.sample_words("bases")).alias("at", "word"))
-    return words.select("seq_id", "at", B.word_number("word").alias("number"), B.word_string(B.word_number("word"), 8).alias("word"))
+    words = reads_of(spark, base).select("seq_id", F.posexplode(B.sample_words("bases")).alias("place", "word"))
+    return words.select("seq_id", "place", B.word_number("word").alias("number"), B.word_string(B.word_number("word"), 8).alias("word"))
 
 
 @query
 def kmer_frequency_stats(spark: SparkSession, base: str) -> DataFrame:
-    return R.word_statistics(reads_of(spark, base).select(F.explode(B.words("bases", 16)).alias("word")))
+    return R.word_statistics(spread(reads_of(spark, base), "bases").select(F.explode(B.words("bases", 16)).alias("word")))
 
 
 @query

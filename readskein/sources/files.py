@@ -27,7 +27,7 @@ def parse_fasta(records: DataFrame) -> DataFrame:
 
     The id is the token after ``>``, the clone the token after the word ``clone``; bases keep [-A-Za-z0-9] only.
     """
-    record = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^\\s*>?", "")
+    record = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^[ \\t]*>", "")
     header, body = F.regexp_extract(record, r"^([^\n]*)", 1), F.regexp_extract(record, r"(?s)^[^\n]*\n(.*)$", 1)
     blank = lambda c: F.when(c != "", c)
     return records.where(F.trim("value") != "").select(
