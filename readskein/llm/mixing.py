@@ -97,8 +97,8 @@ class Mixture:
 
         spark = documents.sparkSession
         self.documents, self.id, self.text, self.source, self.seed = documents, id, text, source, seed
-        named = documents.withColumn("_source", source_name(source))
-        self.sizes, _ = Durable(spark, "mixing").keep(token_counts(named, id, text, path or vocabulary_path(), pattern or public_tokenizers.PATTERN, "_source"))
+        named = documents.select(F.col(id).alias("key"), source_name(source).alias("_source"), F.col(text).alias("text"))
+        self.sizes, _ = Durable(spark, "mixing").keep(token_counts(named, "key", "text", path or vocabulary_path(), pattern or public_tokenizers.PATTERN, "_source"))
         wanted = targets.select(source_name("source").alias("_source"), F.col("weight").cast("double").alias("weight"), F.col("max_repeat").cast("int").alias("max_repeat"))
         wanted = wanted.where("weight > 0 and max_repeat > 0 and _source is not null").groupBy("_source").agg(F.max(F.struct("weight", "max_repeat")).alias("t")).select("_source", "t.*")
         sums = self.sizes.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") > 0).alias("docs"))
@@ -114,26 +114,29 @@ class Mixture:
         self.plan = [(*p, [min(1.0, max(0.0, c)) for c in capped_rate(p[5], p[2])]) for p in plan]
         self.rates = spark.createDataFrame(self.plan, "_source string, weight double, max_repeat int, tokens bigint, docs bigint, rate double, below array<double>")
 
-    def _times(self, df: DataFrame, named: Column) -> DataFrame:
-        """Adds ``_times``: how often each row is used. It depends on the row's id, the seed and the rate only."""
-        key = F.coalesce(F.xxhash64(F.lit(self.seed), F.col(self.id)), F.lit(0))
-        u = (F.shiftrightunsigned(key, 11).cast("double") + 0.5) / float(1 << 53)
-        rates = F.broadcast(self.rates.select("_source", "below"))  # at most MOST_TARGETS rows
-        return df.withColumn("_source", named).join(rates, "_source").withColumn("_u", u).withColumn("_times", F.size(F.expr("filter(below, c -> c < _u)"))).drop("_u", "below")
+    def _times(self, key: Column) -> Column:
+        """How often a row is used, given its source's ``below``. It depends on the row's id, the seed and the rate only."""
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), key), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.size(F.filter("below", lambda c: c < u))
 
     def documents_mixed(self) -> DataFrame:
         """All columns of the documents, with copy (from 1 on) and place, a random number that gives the order; rows
-        are spread over partitions and sorted within them by place, whatever their source."""
-        used = self._times(self.documents.where(F.length(self.text) > 0), source_name(self.source)).where("_times > 0")
-        copies = used.select(*self.documents.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
-        placed = copies.withColumn("place", F.xxhash64(F.lit(self.seed + 1), self.id, "copy"))
+        are spread over partitions and sorted within them by place, whatever their source. Columns of the documents
+        named copy or place are replaced."""
+        kept = [c for c in self.documents.columns if c not in ("copy", "place")]
+        rows = self.documents.where(F.length(self.text) > 0).select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(self.id).alias("key"), source_name(self.source).alias("_source"))
+        rates = F.broadcast(self.rates.select("_source", "below"))  # at most MOST_TARGETS rows
+        used = rows.join(rates, "_source").select("row", "key", self._times(F.col("key")).alias("times")).where("times > 0")
+        copies = used.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+        placed = copies.withColumn("place", F.xxhash64(F.lit(self.seed + 1), "key", "copy"))
         n = int(self.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return placed.repartition(n, "place").sortWithinPartitions("place")
+        return placed.repartition(n, "place").sortWithinPartitions("place").select(*[F.col("row").getField(c).alias(c) for c in kept], "copy", "place")
 
     def shares(self) -> DataFrame:
         """(source, target_share, max_repeat, tokens, docs, rate, tokens_used, docs_used, copies, actual_share): of
         each target; target_share is the given weight, actual_share the share of all tokens of the mixture."""
-        used = self._times(self.sizes, F.col("_source")).where("_times > 0 and n_tokens > 0").groupBy("_source").agg(F.sum(F.col("n_tokens") * F.col("_times")).alias("tokens_used"), F.count("*").alias("docs_used"), F.sum("_times").alias("copies"))
+        drawn = self.sizes.join(F.broadcast(self.rates.select("_source", "below")), "_source").select("_source", "n_tokens", self._times(F.col("key")).alias("_times"))
+        used = drawn.where("_times > 0 and n_tokens > 0").groupBy("_source").agg(F.sum(F.col("n_tokens") * F.col("_times")).alias("tokens_used"), F.count("*").alias("docs_used"), F.sum("_times").alias("copies"))
         both = self.rates.drop("below").join(used, "_source", "left").fillna(0, ["tokens_used", "docs_used", "copies"])
         all_ = both.crossJoin(F.broadcast(used.agg(F.sum("tokens_used").alias("_all"))))
         return all_.select(F.col("_source").alias("source"), F.col("weight").alias("target_share"), "max_repeat", "tokens", "docs", "rate", "tokens_used", "docs_used", "copies", (F.col("tokens_used") / F.col("_all")).alias("actual_share"))

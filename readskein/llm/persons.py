@@ -78,17 +78,20 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
     address goes before an address, that before a number, that before a code, that before words.
     """
     found: list[tuple[int, int, str, str, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text) + 1)  # 1 where a candidate stands
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        return taken.find(1, a, b) < 0
+
+    def take(a: int, b: int) -> None:
+        taken[a:b] = b"\1" * (b - a)
 
     for m in _AT.finditer(text):
         domain = _DOMAIN.match(text, m.end())
         local = domain and _LOCAL.search(text, max(0, m.start() - 80), m.start())
         if local and free(local.start(), domain.end()):
             span = local.start(), domain.end()
-            taken.append(span)
+            take(*span)
             found.append((*span, "email", text[slice(*span)].lower(), -1))
     for m in _HOUSE.finditer(text):
         after = _AFTER.match(text, m.end())
@@ -100,7 +103,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
                 continue
             span = before.start(), m.end()
         if free(*span):
-            taken.append(span)
+            take(*span)
             found.append((*span, "address", text[slice(*span)].lower(), -1))
     for m in _NUMBER.finditer(text):
         a, b = m.span()
@@ -114,11 +117,11 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
         if s[0] == "(" and ")" not in s:
             a += 1
         if free(a, b):
-            taken.append((a, b))
+            take(a, b)
             found.append((a, b, "number", re.sub(r"\D", "", s), -1))
     for m in _CODE.finditer(text):
         if free(*m.span()):
-            taken.append(m.span())
+            take(*m.span())
             found.append((*m.span(), "code", m.group(), -1))
     part = 0
     for m in _RUN.finditer(text):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ ALLOWED = {"email": (1,), "number": (2, 3), "code": (3,), "address": (4,), "word
 RUN, NEXT, SAME, MADE = range(4)
 ROUNDS = 5
 NEAR = 60
+AROUND = 8
 
 _WORDS = re.compile(r"\\?[^\W\d_]+|\d+|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
@@ -38,6 +40,12 @@ def features(text: str, found: list[tuple[int, int, str, str, int]]) -> list[lis
     for i, c in enumerate(found):
         if c[4] >= 0:
             runs.setdefault(c[4], []).append(i)
+    about = {}
+    for part, own in runs.items():
+        keys = [found[j][3] for j in own]
+        given = [k in GIVEN or k.split("-")[0] in GIVEN for k in keys]
+        start = found[own[0]][0]
+        about[part] = own, given, any(given), "," in text[start : found[own[-1]][1]], text[max(0, start - 30) : start].isupper()
     for i, (a, b, form, key, part) in enumerate(found):
         before = _WORDS.findall(text[max(0, a - 70) : a].lower())[-7:]
         after = _WORDS.findall(text[b : b + 30].lower())[:3]
@@ -45,17 +53,14 @@ def features(text: str, found: list[tuple[int, int, str, str, int]]) -> list[lis
         if len(before) > 1:
             f.append(f"{form} <<{before[-2]} {before[-1]}")
         if form == "word":
-            own = runs[part]
-            at = own.index(i)
-            keys = [found[j][3] for j in own]
-            given = [k in GIVEN or k.split("-")[0] in GIVEN for k in keys]
-            inside = text[found[own[0]][0] : found[own[-1]][1]]
-            f += [f"given {given[at]}", f"is {key}", f"place {min(at, 3)} of {min(len(own), 4)}", f"last {at == len(own) - 1} given before {at > 0 and given[at - 1]}"]
-            f.append(f"given after {at + 1 < len(own) and given[at + 1]} comma {',' in inside}")
+            own, given, some, comma, loud = about[part]
+            at, n = bisect(own, i) - 1, len(own)
+            f += [f"given {given[at]}", f"is {key}", f"place {min(at, 3)} of {min(n, 4)}", f"last {at == n - 1} given before {at > 0 and given[at - 1]}"]
+            f.append(f"given after {at + 1 < n and given[at + 1]} comma {comma}")
             caps = text[a:b].isupper()
             f.append(f"caps {caps} first given {given[0]}")
-            f.append(f"caps {caps} of {min(len(own), 4)} given {any(given)} before {text[max(0, a - 30) : found[own[0]][0]].isupper()}")
-            if at + 1 < len(own):
+            f.append(f"caps {caps} of {min(n, 4)} given {some} before {loud}")
+            if at + 1 < n:
                 gap = text[b : found[own[at + 1]][0]]
                 f.append(f"line after {chr(10) in gap} comma {',' in gap}")
             if at:
@@ -85,7 +90,7 @@ def _shape(s: str) -> str:
 
 def edges(found: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int, int]]:
     """(earlier, later, type) between the candidates of a document. Equal tokens are linked in a chain, and a name with
-    the nearest such address on either side, so the number of edges grows as the number of candidates."""
+    such an address among the nearest ones, so the number of edges grows as the number of candidates."""
     out: list[tuple[int, int, int]] = []
     last: dict[tuple[str, str], int] = {}
     mails = [(i, re.split(r"@|\W+at\W+", c[3])[0]) for i, c in enumerate(found) if c[2] == "email"]
@@ -97,8 +102,10 @@ def edges(found: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int, i
             out.append((at, i, SAME))
         last[c[2], c[3]] = i
         if c[2] == "word" and len(c[3]) > 3 and mails:
-            near = sorted((m for m in mails if c[3].split("-")[0] in m[1]), key=lambda m: abs(m[0] - i))[:2]
-            out += [(min(i, m), max(i, m), MADE) for m, _ in near]
+            m = bisect(mails, (i,))
+            stem = c[3].split("-")[0]
+            near = sorted((x for x in mails[max(0, m - AROUND) : m + AROUND] if stem in x[1]), key=lambda x: abs(x[0] - i))[:2]
+            out += [(min(i, x), max(i, x), MADE) for x, _ in near]
     return out
 
 

@@ -76,13 +76,29 @@ links AS (
   SELECT a, b FROM raw WHERE a <> b AND a IN (SELECT seq_id FROM ids) AND b IN (SELECT seq_id FROM ids)
   UNION SELECT n.seq_id, m.m FROM named n JOIN (SELECT c, min(seq_id) AS m FROM named GROUP BY c) m USING (c) WHERE n.seq_id <> m.m),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (
-  SELECT DISTINCT a AS node, a AS seen FROM both_ways
-  UNION
-  SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen WHERE e.b < r.node OR r.node <= e.b)
+reach(node, seen) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen)
 SELECT node AS seq_id, min(seen) AS group_id FROM reach GROUP BY node
 """
 
+_ONE = "one AS (SELECT seq_id, upper(max(bases)) AS b FROM reads WHERE seq_id IS NOT NULL GROUP BY seq_id)"
+
+P3_SQL = f"""
+WITH {_ONE}, w AS MATERIALIZED (SELECT seq_id, p, substr(b, p, 60) AS s FROM (SELECT seq_id, b, unnest(generate_series(1, length(b) - 59)) AS p FROM one)
+  WHERE NOT regexp_matches(substr(b, p, 60), '[^ACGT]')),
+d AS (SELECT s FROM w GROUP BY s HAVING min(seq_id) < max(seq_id)),
+h AS (SELECT seq_id, p, lead(p) OVER (PARTITION BY seq_id ORDER BY p) AS q FROM w WHERE s IN (SELECT s FROM d))
+SELECT seq_id, CAST(sum(least(60, coalesce(q - p, 60))) AS BIGINT) AS n_shared FROM h GROUP BY seq_id
+"""
+
+P4_SQL = f"""
+WITH {_ONE}, raw AS (SELECT seq_id, substr(b, p, 12) AS s FROM (SELECT seq_id, b, unnest(generate_series(1, length(b) - 11)) AS p FROM one)),
+w AS MATERIALIZED (SELECT DISTINCT seq_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS s FROM raw WHERE NOT regexp_matches(s, '[^ACGT]')),
+n AS (SELECT seq_id, count(*) AS n FROM w GROUP BY seq_id HAVING count(*) >= 40),
+v AS MATERIALIZED (SELECT w.* FROM w JOIN n USING (seq_id)),
+c AS (SELECT x.seq_id AS a, y.seq_id AS b, count(*) AS c FROM v x JOIN v y ON x.s = y.s AND x.seq_id < y.seq_id GROUP BY ALL)
+SELECT a AS seq_a, b AS seq_b FROM c JOIN n x ON x.seq_id = a JOIN n y ON y.seq_id = b WHERE c >= 0.5 * (x.n + y.n - c)
+"""
+
 P5_SQL = """
 WITH w AS (SELECT seq_id, unnest(word_seen) AS word FROM wordlists WHERE seq_id IS NOT NULL),
 v AS (SELECT * FROM w WHERE word IS NOT NULL AND word <> -1),
@@ -93,4 +109,4 @@ SELECT word, CASE WHEN r <= 2 THEN 'rare' ELSE 'common' END AS mark FROM c, n WH
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
