@@ -76,7 +76,7 @@ def clone_links(reads: DataFrame, id: str = "seq_id", clone: str = "clone") -> D
         F.col("b").isNotNull() & F.col("clone").rlike(r"[\p{L}\p{N}]")
     ).distinct()
     least = named.groupBy("clone").agg(F.min("b").alias("a"), F.max("b").alias("top")).where("a < top").drop("top")
-    return named.join(least, "clone").select("a", "b")
+    return named.join(least, "clone").where("a <> b").select("a", "b")
 
 
 def read_groups(reads: DataFrame, reads2: DataFrame, edges: DataFrame, forest: DataFrame) -> DataFrame:
