@@ -67,6 +67,15 @@ def next_in_key(df: DataFrame, key: str, order: str, out: Column | str, name: st
     return linked.where(F.col("next").isNotNull()).select(*cols, F.col("next.value").alias(name)).unionByName(last.select(*cols, F.col("boundary").alias(name)))
 
 
+def by_read(df: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Rows over all shuffle partitions by ``key``. Grouping by it, or by it and more, then needs no further shuffle.
+
+    The number of partitions is explicit, because adaptive execution joins small partitions into few, and tables that
+    are small as reads are large as words.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def current_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per ``key``: the one with the largest ``order``; nulls in ``order`` count as smallest.
 

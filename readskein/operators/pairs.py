@@ -7,26 +7,21 @@ from pyspark.sql import functions as F
 
 from ..config import ClusterConfig
 from ..functions.bases import reverse_complement, sample_words, words
+from .chunks import by_read
 
 
-def spread(reads: DataFrame, *columns: str) -> DataFrame:
-    """Reads over all shuffle partitions by seq_id, before their words multiply them.
-
-    Partitions of bases are small, and adaptive execution would join them into few; an explicit number keeps them
-    apart. Grouping by (seq_id, word) then needs no further shuffle.
-    """
-    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return reads.select("seq_id", *columns).repartition(n, "seq_id")
-
-
-def word_table(reads: DataFrame, k: int, both_strands: bool) -> DataFrame:
-    """(seq_id, word, n, first, last): words of each read with number and outermost places; with ``both_strands``
-    also those of its reverse complement. Counted before anything is shuffled."""
-    wide = spread(reads, "bases")
-    if both_strands:
-        wide = wide.select("seq_id", F.explode(F.array("bases", reverse_complement("bases"))).alias("bases"))
-    forward = wide.select("seq_id", F.posexplode(words("bases", k)).alias("pos", "word"))
-    return forward.groupBy("seq_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+def word_table(reads: DataFrame, k: int, either_strand: bool) -> DataFrame:
+    """(seq_id, word, n, first, last, twofold): words of each read with number and outermost places; with
+    ``either_strand`` a word and its reverse complement are one, named by the lesser, and twofold tells whether they
+    are the same. Counted before anything is shuffled."""
+    if either_strand:
+        # the complement of a read has the complements of its words, in reverse
+        both = F.arrays_zip(words("bases", k).alias("w"), F.reverse(words(reverse_complement("bases"), k)).alias("c"))
+        placed = by_read(reads).select("seq_id", F.posexplode(both).alias("pos", "b"))
+        placed = placed.select("seq_id", "pos", F.least("b.w", "b.c").alias("word"), (F.col("b.w") == F.col("b.c")).alias("twofold"))
+    else:
+        placed = by_read(reads).select("seq_id", F.posexplode(words("bases", k)).alias("pos", "word")).withColumn("twofold", F.lit(False))
+    return placed.groupBy("seq_id", "word", "twofold").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")).select("seq_id", "word", "n", "first", "last", "twofold")
 
 
 def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None = None, right: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
@@ -39,18 +34,16 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
     ``max_word_freq`` reads nominate nobody if that is set.
     """
     long = reads.where(F.length("bases") >= config.min_len).select("seq_id", "bases", F.length("bases").alias("len"))
-    a = word_table(long, config.kmer_len, False)
-    b = word_table(long, config.kmer_len, config.rc_check)
+    table = word_table(long, config.kmer_len, config.rc_check)
     if config.max_word_freq is not None:
-        few = b.groupBy("word").count().where(F.col("count") <= config.max_word_freq).select("word")
-        b = b.join(few, "word", "left_semi")
-    if left is not None:
-        a = a.join(left.select("seq_id").distinct(), "seq_id", "left_semi")
-    if right is not None:
-        b = b.join(right.select("seq_id").distinct(), "seq_id", "left_semi")
-    a = a.select(F.col("seq_id").alias("i"), "word", F.col("n").alias("ni"), "first", "last")
+        few = table.groupBy("word").count().where(F.col("count") <= config.max_word_freq).select("word")
+        table = table.join(few, "word", "left_semi")
+    a = table if left is None else table.join(left.select("seq_id").distinct(), "seq_id", "left_semi")
+    b = table if right is None else table.join(right.select("seq_id").distinct(), "seq_id", "left_semi")
+    a = a.select(F.col("seq_id").alias("i"), "word", (F.col("n") * F.when(F.col("twofold"), 2).otherwise(1)).alias("ni"), "first", "last")
     b = b.select(F.col("seq_id").alias("j"), "word", F.col("n").alias("nj"))
-    met = a.join(b, "word").where("i <> j" if symmetric else "i < j")
+    # Words outgrow what the size of the reads lets the planner expect, so it must not broadcast them.
+    met = a.hint("merge").join(b.hint("merge"), "word").where("i <> j" if symmetric else "i < j")
     pairs = met.groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj")).alias("shared"), (F.max("last") - F.min("first")).alias("span"))
     if symmetric:
         return pairs.where((F.col("shared") >= config.alpha) & (F.col("span") >= config.beta))
@@ -66,7 +59,7 @@ def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None
     This is the all-pairs search: it finds by an equi-join exactly the pairs that the sample filter lets through.
     """
     long = reads.where(F.length("bases") >= config.window_len).select("seq_id", "bases")
-    long = spread(long, "bases")
+    long = by_read(long)
     sides = [F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b"))]
     if config.rc_check:
         sides.append(F.struct(F.lit(-1).alias("strand"), reverse_complement("bases").alias("b")))
@@ -76,7 +69,8 @@ def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None
         own = own.join(left.select("seq_id").distinct(), "seq_id", "left_semi")
     if right is not None:
         samples = samples.join(right.select("seq_id").distinct(), "seq_id", "left_semi")
-    met = own.select(F.col("seq_id").alias("i"), "word", "strand").join(samples.select(F.col("seq_id").alias("j"), "word", "n"), "word").where("i < j")
+    own, samples = own.select(F.col("seq_id").alias("i"), "word", "strand"), samples.select(F.col("seq_id").alias("j"), "word", "n")
+    met = own.hint("merge").join(samples.hint("merge"), "word").where("i < j")
     return met.groupBy("i", "j", "strand").agg(F.sum("n").alias("hits")).where(F.col("hits") > config.sample_thresh)
 
 

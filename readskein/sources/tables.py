@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import clone_name, steady_bases
-from ..operators.chunks import current_rows
+from ..operators.chunks import by_read, current_rows
 
 
 def clean_reads(reads: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def clean_reads(reads: DataFrame) -> DataFrame:
     Of several rows the largest non-null value of each column counts; null bases are empty; rows without seq_id are
     dropped. A null id becomes the number of the read; a clone without letter or digit is null.
     """
-    one = reads.where(F.col("seq_id").isNotNull()).groupBy("seq_id").agg(F.max("id").alias("id"), F.max(clone_name("clone")).alias("clone"), F.max("bases").alias("bases"))
+    one = by_read(reads.where(F.col("seq_id").isNotNull()).select("seq_id", "id", "clone", "bases")).groupBy("seq_id").agg(F.max("id").alias("id"), F.max(clone_name("clone")).alias("clone"), F.max("bases").alias("bases"))
     bases = steady_bases(F.coalesce("bases", F.lit("")), "seq_id")
     return one.select("seq_id", F.coalesce("id", F.col("seq_id").cast("string")).alias("id"), "clone", bases.alias("bases")).withColumn("len", F.length("bases"))
 
