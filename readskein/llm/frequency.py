@@ -85,15 +85,10 @@ def ngram_counts(records: DataFrame, id: str, tokens: str, longest: int = 1) ->
     return both.select("ngram", "occurrences", (F.col("occurrences") - F.col("again")).alias("records"))
 
 
-def marked_terms(counts: DataFrame, total: int | DataFrame, rare: int = 2, common: float = 0.02) -> DataFrame:
+def marked_terms(counts: DataFrame, total: int, rare: int = 2, common: float = 0.02) -> DataFrame:
     """Adds ``mark``: rare if in at most ``rare`` records, else common if in more than the share ``common`` of all
-    records, else null. ``total`` is the number of records, or a frame of one row with it as column total."""
-    if isinstance(total, int):
-        marked, n = counts, F.lit(total)
-    else:
-        marked, n = counts.crossJoin(F.broadcast(total.select("total"))), F.col("total")
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common) * n, "common")
-    return marked.withColumn("mark", mark).select(*counts.columns, "mark")
+    ``total`` records, else null."""
+    return counts.withColumn("mark", F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * total, "common"))
 
 
 def word_marks(wordlists: DataFrame) -> DataFrame:
@@ -103,6 +98,6 @@ def word_marks(wordlists: DataFrame) -> DataFrame:
     different reads that have at least one word.
     """
     lists = wordlists.select("seq_id", F.transform("word_seen", lambda w: F.when(w != -1, w)).alias("words"))
-    total = lists.where(F.exists("words", lambda w: w.isNotNull()) & F.col("seq_id").isNotNull()).agg(F.countDistinct("seq_id").alias("total"))
+    total = lists.where(F.exists("words", lambda w: w.isNotNull()) & F.col("seq_id").isNotNull()).agg(F.countDistinct("seq_id")).first()[0]
     counts = ngram_counts(lists, "seq_id", "words", 1)
     return marked_terms(counts, total).select(F.col("ngram")[0].alias("word"), "occurrences", "records", "mark")

@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Durable
@@ -138,5 +138,5 @@ class Mixture:
         drawn = self.sizes.join(F.broadcast(self.rates.select("_source", "below")), "_source").select("_source", "n_tokens", self._times(F.col("key")).alias("_times"))
         used = drawn.where("_times > 0 and n_tokens > 0").groupBy("_source").agg(F.sum(F.col("n_tokens") * F.col("_times")).alias("tokens_used"), F.count("*").alias("docs_used"), F.sum("_times").alias("copies"))
         both = self.rates.drop("below").join(used, "_source", "left").fillna(0, ["tokens_used", "docs_used", "copies"])
-        all_ = both.crossJoin(F.broadcast(used.agg(F.sum("tokens_used").alias("_all"))))
-        return all_.select(F.col("_source").alias("source"), F.col("weight").alias("target_share"), "max_repeat", "tokens", "docs", "rate", "tokens_used", "docs_used", "copies", (F.col("tokens_used") / F.col("_all")).alias("actual_share"))
+        whole = F.sum("tokens_used").over(Window.partitionBy(F.lit(0)))  # over one row a target
+        return both.withColumn("_all", whole).select(F.col("_source").alias("source"), F.col("weight").alias("target_share"), "max_repeat", "tokens", "docs", "rate", "tokens_used", "docs_used", "copies", F.when(F.col("_all") > 0, F.col("tokens_used") / F.col("_all")).alias("actual_share"))

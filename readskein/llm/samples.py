@@ -35,6 +35,8 @@ LINES = [
     "Compare it at fixed {W}, version 3.2.1@{W}.", "The years 1990-1994 and pages 1201-1299 matter, item {LOT}.", "Figures \\ref{a} show The {S} Flow and {T} Noise.", "Doi 10.1000/{N}.{N} and ISBN 978-{ISSN} are cited.",
     "It {W} It the {T} same be The Both In and {W} {T}.", "both And that The It such {W} Be {T} When the.", "THE {W} OF THE {W}, ALTHOUGH A {W} LOSES ITS {W} AND THE {W} {W} IS {W}. {W} THE {W} {W}, OUR {W} GIVES {W}.",
     "LET THE {W} BE {W} AND SUPPOSE THAT {W} {W}. FOR EACH {W} WE RECORD {W} {W}, AND {W} IT WITH {W} {W} PERCENT OF.", "{W} IN {W} TO THE {W} {W}, {W} {W} NOT BOTH {W} {W} ON THE {W}.",
+    "Our {T} {T} Slowly {T} The {T} {T}.", "A {T} {T} Was {T} From {T} {T} And {T} Until The {T}.", "{T} {T} Of {T} {T}, Whose {T} {W} {T} Of {T} Order.", "It {W} That {T} {T} And {T} {W} {W} {T} {T} In {T}.",
+    "%this passage is by {NAME}", "% moved here by {NAME}", "%% text of {NAME}", "{T} {W} to the {W}, we {W} it.", "{T} the {W} for {W} {W} gives it.", "{T} each {W} we {W} the {W}.", "{T} {W} against {W} it {W}.",
     "{T} University and the {T} Institute of {T} Research hosted us.", "A model called {G} was used with {S} Networks.", "The {T} Issue {X} and Second {T} {X} list them.", "Contact {NAME} at \\url{{EMAIL}}.",
 ]
 ID_WORDS = ["SSN:", "SSN", "social security number", "Social Security no.", "tax id", "tax number", "TIN", "passport no.\\", "passport", "passport number", "national identity no.", "national id", "identity card", "staff number", "staff no.", "employee id", "personnel number", "Researcher id", "researcher ID", "ORCID", "student number"]
@@ -69,7 +71,7 @@ def _name(r: random.Random) -> str:
         out = f"{given} {r.choice('ABCDEFHJKLMRST')}.{gap}{family}"
     else:
         out = f"{given}{gap}{family}"
-    return out.upper() if r.random() < 0.06 and "\\" not in out else out
+    return out.upper() if r.random() < 0.1 and "\\" not in out else out
 
 
 def _digits(r: random.Random, shape: str) -> str:

@@ -197,7 +197,7 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
     return shared.select("id", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("n")).groupBy(F.col("id").alias(id)).agg(F.sum("n").alias("n_shared"))
 
 
-def _slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many characters each, or one row."""
     if not batch.num_rows:
         return

@@ -22,6 +22,7 @@ def test_words_of_tex():
     assert words(None) == [] and words("") == [] and words("%%% \\ { }") == []
     assert words("one-\r\ntwo three-\r\n% four") == ["onetwo", "threefour"]
     assert words("\\newcommand{\\a}{unclosed words") != [] and words("\\cite{never closed") != []
+    assert words("a\\\\[2pt] b\\footnotemark[3] c-%\nd e\\-\nf \\begin{tabular}{ll} g") == ["a", "b", "cd", "ef", "g"]
     assert words("Ünder_score ÉT") == ["under", "score", "et"]
 
 
