@@ -9,7 +9,7 @@ from ..config import ClusterConfig
 from ..session import Durable
 from .components import apart_labels, min_labels
 from .distance import matching, scored_pairs
-from .pairs import candidates, in_clusters, sample_hits
+from .pairs import candidates, sample_hits
 
 
 def match_edges(reads: DataFrame, config: ClusterConfig, mode: str = "candidates", left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
@@ -125,10 +125,6 @@ def recluster(reads: DataFrame, clusters: DataFrame, config: ClusterConfig | Non
     return min_labels(inside, nodes=clusters.select("seq_id"))
 
 
-def recluster_pairs(clusters: DataFrame) -> DataFrame:
-    return in_clusters(clusters)
-
-
 def adjacency(reads: DataFrame, edges: DataFrame, symmetric: bool = True) -> DataFrame:
     """(seq_id, neighbours) of every read: with ``symmetric`` all neighbours and itself, else the later ones only."""
     pairs = edges.select(F.col("i").alias("seq_id"), F.col("j").alias("n"))

@@ -22,12 +22,11 @@ def pair_counts(a: DataFrame, b: DataFrame, missing_alone: bool = False) -> Data
     """(tp, fp, fn, tn): pairs of reads together in both, in a only, in b only, in neither, from counts of shared
     clusters. Reads of one clustering only are left out, or with ``missing_alone`` clusters of their own in the other."""
     both = _both(a, b, missing_alone)
-    two = lambda n: F.coalesce(F.sum(F.col(n) * (F.col(n) - 1) / 2), F.lit(0)).cast("bigint")
     cross = both.groupBy("ca", "cb").agg(F.count("*").alias("n"))
-    in_a = cross.groupBy("ca").agg(F.sum("n").alias("n")).agg(two("n").alias("pa"))
-    in_b = cross.groupBy("cb").agg(F.sum("n").alias("n")).agg(two("n").alias("pb"))
-    whole = cross.agg(two("n").alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
-    one = whole.crossJoin(in_a).crossJoin(in_b)  # three rows of one
+    sides = [("tp", cross), ("pa", cross.groupBy("ca").agg(F.sum("n").alias("n"))), ("pb", cross.groupBy("cb").agg(F.sum("n").alias("n")))]
+    pairs = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("bigint")
+    sums = reduce(DataFrame.unionByName, [d.agg(pairs.alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).withColumn("of", F.lit(k)) for k, d in sides])
+    one = sums.agg(*[F.max(F.when(F.col("of") == k, F.col("v"))).alias(k) for k, _ in sides], F.max("all").alias("all"))
     tn = (F.col("all") * (F.col("all") - 1) / 2).cast("bigint") - F.col("pa") - F.col("pb") + F.col("tp")
     return one.select("tp", (F.col("pa") - F.col("tp")).alias("fp"), (F.col("pb") - F.col("tp")).alias("fn"), tn.alias("tn"))
 
@@ -55,12 +54,6 @@ def index_table(clusterings: dict[str, DataFrame], index: str = "ri") -> DataFra
     return reduce(DataFrame.unionByName, rows).groupBy("name").pivot("other", list(clusterings)).agg(F.first("value"))
 
 
-def together(clusters: DataFrame) -> DataFrame:
-    """(i, j): pairs i < j of one cluster."""
-    a = clusters.select("cluster_id", F.col("seq_id").alias("i"))
-    return a.join(clusters.select("cluster_id", F.col("seq_id").alias("j")), "cluster_id").where("i < j").select("i", "j")
-
-
 def pair_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j): pairs together in a and apart in b, of reads that both hold.
 
@@ -84,7 +77,9 @@ def quality(flagged: DataFrame, matched: DataFrame, n_pairs: DataFrame) -> DataF
     """(tp, fp, fn, tn) of a filter: pairs flagged (i, j) against pairs matched (i, j) out of n_pairs (one row, n)."""
     f = flagged.select("i", "j").distinct().withColumn("f", F.lit(1))
     m = matched.select("i", "j").distinct().withColumn("m", F.lit(1))
-    n = lambda c: F.count_if(c)
-    has_f, has_m = F.col("f").isNotNull(), F.col("m").isNotNull()
-    got = f.join(m, ["i", "j"], "full").agg(n(has_f & has_m).alias("tp"), n(has_f & ~has_m).alias("fp"), n(~has_f & has_m).alias("fn"))
-    return got.crossJoin(n_pairs.select("n")).select("tp", "fp", "fn", (F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
+    has_f, has_m, n = F.col("f").isNotNull(), F.col("m").isNotNull(), F.lit(None).cast("bigint")
+    got = f.join(m, ["i", "j"], "full").agg(F.count_if(has_f & has_m).alias("tp"), F.count_if(has_f & ~has_m).alias("fp"), F.count_if(~has_f & has_m).alias("fn"))
+    nothing = F.lit(None).cast("bigint")
+    both = got.withColumn("n", n).unionByName(n_pairs.select(nothing.alias("tp"), nothing.alias("fp"), nothing.alias("fn"), "n"))
+    one = both.agg(*[F.max(c).alias(c) for c in ("tp", "fp", "fn", "n")])
+    return one.select("tp", "fp", "fn", (F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))

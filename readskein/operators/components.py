@@ -87,8 +87,8 @@ def apart_labels(edges: DataFrame, fixed: DataFrame, nodes: DataFrame | None = N
     ranked = edges.where("i <> j").select("i", "j", order.alias("at")).join(inner.select(F.col("seq_id").alias("i")), "i", "left_semi")
     ranked, _ = durable.keep(ranked.groupBy("i", "j").agg(F.min("at").alias("at")))
     # the root of all fixed reads is their least id
-    root = fixed.agg(F.min("seq_id").alias("root"))
-    trees, _ = durable.keep(inner.join(fixed.withColumn("f", F.lit(True)), "seq_id", "left").crossJoin(F.broadcast(root)).select("seq_id", F.when(F.col("f"), F.col("root")).otherwise(F.col("seq_id")).alias("tree")))
+    root = F.lit(fixed.agg(F.min("seq_id")).first()[0]).cast("bigint")
+    trees, _ = durable.keep(inner.join(fixed.withColumn("f", F.lit(True)), "seq_id", "left").select("seq_id", F.when(F.col("f"), root).otherwise(F.col("seq_id")).alias("tree")))
     taken = None
     while True:
         ends = ranked.join(trees.select(F.col("seq_id").alias("i"), F.col("tree").alias("ti")), "i").join(trees.select(F.col("seq_id").alias("j"), F.col("tree").alias("tj")), "j").where("ti <> tj")

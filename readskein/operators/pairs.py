@@ -74,12 +74,6 @@ def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None
     return met.groupBy("i", "j", "strand").agg(F.sum("n").alias("hits")).where(F.col("hits") > config.sample_thresh)
 
 
-def in_clusters(clusters: DataFrame) -> DataFrame:
-    """(i, j): all pairs i < j within each given cluster (seq_id, cluster_id)."""
-    a = clusters.select("cluster_id", F.col("seq_id").alias("i"))
-    return a.join(clusters.select("cluster_id", F.col("seq_id").alias("j")), "cluster_id").where("i < j").select("i", "j")
-
-
 def ranged(pairs: DataFrame, low: int, high: int) -> DataFrame:
     """Those pairs whose i is at least ``low`` and below ``high``; j is any later read."""
     return pairs.where((F.col("i") >= low) & (F.col("i") < high))

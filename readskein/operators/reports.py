@@ -153,5 +153,8 @@ def counters(scores: DataFrame, n_reads: DataFrame, config) -> DataFrame:
 
     c = settled(config)
     theta = F.floor(F.col("window") * c.theta / c.window_len) if c.theta >= 0 else F.lit(c.theta)
+    names = ("prefilter_calls", "full_calls", "distance_calls", "matches")
     n = scores.agg(F.count("*").alias("prefilter_calls"), F.count_if(F.col("sample") > c.sample_thresh).alias("full_calls"), F.count("dist").alias("distance_calls"), F.count_if(F.col("dist") <= theta).alias("matches"))
-    return n.crossJoin(n_reads.select(F.floor(F.col("n") * F.col("n") / 2).cast("bigint").alias("half_square")))
+    nothing = F.lit(None).cast("bigint")
+    half = n_reads.select(*[nothing.alias(c) for c in names], F.floor(F.col("n") * F.col("n") / 2).cast("bigint").alias("half_square"))
+    return n.withColumn("half_square", nothing).unionByName(half).agg(*[F.max(c).alias(c) for c in (*names, "half_square")])
