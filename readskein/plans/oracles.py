@@ -130,6 +130,7 @@ SELECT v.base, CAST(v.code AS INTEGER) AS code, coalesce(n, 0) AS n FROM (VALUES
     q["revcomp"] = f"WITH {R1} SELECT seq_id, {RC.format('bases')} AS rc FROM r"
     q["mirror_union"] = f"WITH {R1} SELECT seq_id, id, bases, 0 AS part FROM r UNION ALL SELECT seq_id, id, {RC.format('bases')}, 1 FROM r"
     q["kmer_explode"] = f"WITH {R2}, {_words(8, False, 'w', 'r2')} SELECT seq_id, CAST(pos AS INTEGER) AS pos, word FROM w"
+    q["kmer_explode_all"] = f"WITH {ALL}, {_words(8, False, 'w', 'ra')} SELECT seq_id, CAST(pos AS INTEGER) AS pos, word FROM w"
     q["sample_word_numbers"] = f"""WITH {R1}, w AS (SELECT seq_id, k - 1 AS place, substr(bases, k * 8 + 1, 8) AS word FROM (SELECT seq_id, bases, unnest(generate_series(1, length(bases) // 8 - 2)) AS k FROM r))
 SELECT seq_id, CAST(place AS INTEGER) AS place, CAST(list_sum(list_transform(generate_series(1, 8), lambda p: (position(substr(word, p, 1) IN 'ACGT') - 1) * CAST(pow(4, 8 - p) AS BIGINT))) AS BIGINT) AS number, word FROM w"""
     q["kmer_frequency_stats"] = f"""WITH {R1}, {_words(16, False, "w")}, n AS (SELECT count(*) AS n FROM w GROUP BY word)

@@ -106,9 +106,15 @@ def mirror_union(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def kmer_explode(spark: SparkSession, base: str) -> DataFrame:
+    """Words of the earlier run's reads; ``kmer_explode_all`` has those of all reads."""
     return reads2_of(spark, base).select("seq_id", F.posexplode(B.words("bases", 8)).alias("pos", "word"))
 
 
+@query
+def kmer_explode_all(spark: SparkSession, base: str) -> DataFrame:
+    return all_reads(spark, base).select("seq_id", F.posexplode(B.words("bases", 8)).alias("pos", "word"))
+
+
 @query
 def sample_word_numbers(spark: SparkSession, base: str) -> DataFrame:
     words = reads_of(spark, base).select("seq_id", F.posexplode(B.sample_words("bases")).alias("place", "word"))
