@@ -152,6 +152,7 @@ class Distance:
 
 DISTANCES: dict[str, Distance] = {
     "d2": Distance(lambda a, b, window, c: d2_windows(a, b, window, c.word_len, c.skip)),
+    "whole": Distance(lambda a, b, window, c: d2_whole(a, b, c.word_len)),
     "ends": Distance(lambda a, b, window, c: ends(a, b, c.word_len)),
     "ed": Distance(lambda a, b, window, c: local_edit(a, b, EditCosts()), -20, 1),
     "heuristic": Distance(lambda a, b, window, c: 1),

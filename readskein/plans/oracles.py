@@ -57,14 +57,14 @@ def _table(words: str, name: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT seq_id, word, count(*) AS n, min(pos) AS f, max(pos) AS l FROM {words} GROUP BY ALL)"
 
 
-def _candidates(k: int = 16, alpha: int = 3, beta: int = 45, window: int = 100, symmetric: bool = False) -> str:
+def _candidates(k: int = 16, alpha: int = 3, beta: int = 45, window: int = 100, symmetric: bool = False, reads: str = R1) -> str:
     long = "AND length(bases) >= 40"
     last = (
         f"shared >= {alpha} AND span >= {beta}"
         if symmetric
         else f"((SELECT length(bases) FROM r WHERE r.seq_id = i) < {window} AND span >= {beta >> 2}) OR (shared >= {alpha} AND span >= {beta})"
     )
-    return f"""{R1}, {_words(k, False, "wf", where=long)}, {_words(k, True, "wa", where=long)}, {_table("wf", "tf")}, {_table("wa", "ta")},
+    return f"""{reads}, {_words(k, False, "wf", where=long)}, {_words(k, True, "wa", where=long)}, {_table("wf", "tf")}, {_table("wa", "ta")},
 met AS (SELECT a.seq_id AS i, b.seq_id AS j, CAST(sum(a.n * b.n) AS BIGINT) AS shared, CAST(max(a.l) - min(a.f) AS INTEGER) AS span
   FROM tf a JOIN ta b ON a.word = b.word AND a.seq_id {"<>" if symmetric else "<"} b.seq_id GROUP BY 1, 2),
 cand AS MATERIALIZED (SELECT * FROM met WHERE {last})"""
@@ -161,6 +161,10 @@ SELECT i, j, strand, sample, hits FROM t WHERE top > 1 AND sample > (CASE WHEN l
     q["d2_whole_pairs"] = f"""WITH {R2}, {_words(6, False, "w", "r2")}, t AS (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL), q AS (SELECT seq_id, sum(n * n) AS q FROM t GROUP BY 1),
 s AS (SELECT a.seq_id AS i, b.seq_id AS j, sum(a.n * b.n) AS c FROM t a JOIN t b ON a.word = b.word AND a.seq_id < b.seq_id GROUP BY 1, 2)
 SELECT a.seq_id AS i, b.seq_id AS j, CAST(a.q + b.q - 2 * coalesce(c, 0) AS BIGINT) AS d2 FROM q a JOIN q b ON a.seq_id < b.seq_id LEFT JOIN s ON s.i = a.seq_id AND s.j = b.seq_id"""
+    both = _clean("(SELECT seq_id, id, clone, bases FROM reads UNION ALL SELECT seq_id, id, clone, bases FROM reads2)", "r")
+    q["d2_whole_candidates"] = f"""WITH {_candidates(reads=both)}, {_words(6, False, "w")}, t AS MATERIALIZED (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL), q AS (SELECT seq_id, sum(n * n) AS q FROM t GROUP BY 1),
+s AS (SELECT i, j, sum(a.n * b.n) AS c FROM cand JOIN t a ON a.seq_id = i JOIN t b ON b.seq_id = j AND b.word = a.word GROUP BY 1, 2)
+SELECT i, j, CAST(a.q + b.q - 2 * coalesce(c, 0) AS BIGINT) AS d2 FROM cand JOIN q a ON a.seq_id = i JOIN q b ON b.seq_id = j LEFT JOIN s USING (i, j)"""
     q["ends_distance"] = f"""WITH {_candidates()},
 p AS (SELECT i, j, x.bases AS bi, y.bases AS bj, least(length(x.bases), length(y.bases)) AS n FROM cand JOIN r x ON x.seq_id = i JOIN r y ON y.seq_id = j),
 k AS (SELECT i, j, 0 AS side, right(bi, n) AS a, left(bj, n) AS b FROM p UNION ALL SELECT i, j, 1, left(bi, n), right(bj, n) FROM p),

@@ -208,7 +208,8 @@ def prefilter_pairs(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def d2_whole_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Distance of whole reads, for all pairs of the earlier run's reads, from joined word counts."""
+    """Distance of whole reads, for all pairs of the earlier run's reads, from joined word counts; of the candidates
+    among all reads it is in ``d2_whole_candidates``."""
     r = reads2_of(spark, base)
     w = word_table(r, CONFIG.word_len, False).select("seq_id", "word", F.col("n").cast("bigint").alias("n"))
     own = w.groupBy("seq_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
@@ -217,6 +218,13 @@ def d2_whole_pairs(spark: SparkSession, base: str) -> DataFrame:
     return pairs.join(shared, ["i", "j"], "left").select("i", "j", (F.col("qi") + F.col("qj") - 2 * F.coalesce("c", F.lit(0))).alias("d2"))
 
 
+@query
+def d2_whole_candidates(spark: SparkSession, base: str) -> DataFrame:
+    r = all_reads(spark, base)
+    pairs, _ = Durable(spark, "candidates").keep(candidates(r, CONFIG).select("i", "j"))
+    return scored_pairs(pairs, r, CONFIG.but(distance="whole", rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("d2"))
+
+
 @query
 def d2_window_min(spark: SparkSession, base: str) -> DataFrame:
     return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG.but(rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("d2"))
