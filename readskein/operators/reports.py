@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,29 +99,65 @@ def split_members(clusters: DataFrame, least: int) -> DataFrame:
     return file_buckets(clusters, least).where("bucket >= 0").select(F.col("bucket").alias("file"), "seq_id")
 
 
-def size_bins(clusters: DataFrame, most: int) -> DataFrame:
+def size_bins(clusters: DataFrame, most: int, chunk: int = 100_000) -> DataFrame:
     """(cluster_id, bin): clusters in order of their id fill bins of at most ``most`` reads; one that doesn't fit opens
     the next bin, and a larger one has a bin of its own.
 
-    Filling is sequential by nature. It runs over cluster sizes only, in groups of 100,000 clusters that each open a
-    bin of their own, so no task holds more than that.
+    Filling is sequential by nature. It runs over cluster sizes only, in chunks of ``chunk`` clusters: first each chunk
+    tells, for every fill of the bin it may come to, how many bins it opens and how full it leaves the last; these maps
+    are followed from chunk to chunk; then each chunk is filled from the bin it comes to.
     """
-    sized = number_in_key(sizes(clusters).withColumn("key", F.lit(0)), "key", ["cluster_id"], 100_000)
+    sized = number_in_key(sizes(clusters).withColumn("key", F.lit(0)), "key", ["cluster_id"], chunk).select("cluster_id", "size", "_chunk", "_number")
+
+    def passage(pdf):
+        at, opened, fill = bin_passage(pdf.sort_values("_number")["size"].to_numpy(), most)
+        return pd.DataFrame({"_chunk": pdf["_chunk"].iloc[:1].to_numpy(), "at": [at], "opened": [opened], "fill": [fill]})
+
+    def entries(pdf):
+        rows, bin, used = [], 0, 0
+        for c, at, opened, fill in pdf.sort_values("_chunk")[["_chunk", "at", "opened", "fill"]].itertuples(index=False):
+            rows.append((c, bin, used))
+            k = int(np.searchsorted(at, min(used, max(most, 1)), side="right")) - 1
+            bin, used = bin + int(opened[k]), int(fill[k]) + (used if opened[k] == 0 else 0)
+        return pd.DataFrame(rows, columns=["_chunk", "bin", "used"])
 
     def fill(pdf):
         pdf = pdf.sort_values("_number")
-        bins, used, at = [], 0, 0
+        bins, used, at = [], int(pdf["used"].iloc[0]), int(pdf["bin"].iloc[0])
         for n in pdf["size"]:
             if used and used + n > most:
                 at, used = at + 1, 0
             used += n
             bins.append(at)
-        return pdf.assign(bin=bins)[["cluster_id", "_chunk", "bin"]]
-
-    filled = sized.select("cluster_id", "size", "_chunk", "_number").groupBy("_chunk").applyInPandas(fill, "cluster_id bigint, _chunk bigint, bin bigint")
-    counts = filled.groupBy("_chunk").agg((F.max("bin") + 1).alias("n"))
-    before = counts.select(F.col("_chunk").alias("c"), F.coalesce(F.sum("n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return filled.join(before, F.col("_chunk") == F.col("c")).select("cluster_id", (F.col("bin") + F.col("before")).alias("bin"))
+        return pdf.assign(bin=bins)[["cluster_id", "bin"]]
+
+    maps = sized.groupBy("_chunk").applyInPandas(passage, "_chunk bigint, at array<bigint>, opened array<bigint>, fill array<bigint>")
+    begun = maps.withColumn("key", F.lit(0)).groupBy("key").applyInPandas(entries, "_chunk bigint, bin bigint, used bigint")
+    return sized.join(begun, "_chunk").groupBy("_chunk").applyInPandas(fill, "cluster_id bigint, bin bigint")
+
+
+def bin_passage(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, opened, fill): what a run of clusters of these sizes does to a bin of at most ``most`` reads. Entry k holds
+    for fills from at[k] to below at[k + 1]: bins opened, and reads in the last one; of no bin, the reads added."""
+    n, total = len(sizes), np.cumsum(sizes)
+    before = total - sizes
+    # the cluster that opens the bin after the one that cluster k opens
+    following = np.maximum(np.searchsorted(total, before + most, side="right"), np.arange(n) + 1)
+    opened, fill = np.ones(n + 1, np.int64), np.empty(n + 1, np.int64)
+    opened[n], fill[n] = 0, total[-1]
+    for k in range(n - 1, -1, -1):
+        f = following[k]
+        if f == n:
+            fill[k] = total[-1] - before[k]
+        else:
+            opened[k], fill[k] = opened[f] + 1, fill[f]
+    # a bin with fill u > 0 ends at the first cluster whose running total exceeds most - u; an empty one takes any cluster
+    ends = np.arange(min(n, int(np.searchsorted(total, most - 1, side="right"))), -1, -1)
+    least = np.maximum(1, most + 1 - np.append(total, most)[ends])
+    empty = (0, fill[0]) if following[0] == n else (opened[0] - 1, fill[0])
+    at, opened, fill = np.append(0, least), np.append(empty[0], opened[ends]), np.append(empty[1], fill[ends])
+    new = np.append(True, (opened[1:] != opened[:-1]) | (fill[1:] != fill[:-1]))
+    return at[new], opened[new], fill[new]
 
 
 def word_statistics(words: DataFrame) -> DataFrame:

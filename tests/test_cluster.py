@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from readskein.config import ClusterConfig
@@ -223,3 +224,32 @@ def test_size_bins_fill_in_order(spark):
     c = clustering(spark, "0 1 2.\n3 4.\n5.\n6 7 8 9 10 11.\n12.")
     got = [r.bin for r in R.size_bins(c, 5).orderBy("cluster_id").collect()]
     assert got == [0, 0, 1, 2, 3]
+
+
+def test_size_bins_go_on_across_chunks(spark):
+    r = random.Random(5)
+    sizes = [r.randrange(1, 9) for _ in range(40)]
+    want, used, at = [], 0, 0
+    for n in sizes:
+        if used and used + n > 7:
+            at, used = at + 1, 0
+        used += n
+        want.append(at)
+    c = spark.createDataFrame([(k * 100 + x, k * 100) for k, n in enumerate(sizes) for x in range(n)], "seq_id bigint, cluster_id bigint")
+    for chunk in (1, 3, 100):
+        assert [x.bin for x in R.size_bins(c, 7, chunk).orderBy("cluster_id").collect()] == want
+
+
+def test_bin_passage_tells_what_filling_does():
+    r = random.Random(6)
+    for _ in range(500):
+        most, sizes = r.randrange(1, 12), [r.randrange(1, r.choice([3, 15])) for _ in range(r.randrange(1, 9))]
+        at, opened, fill = R.bin_passage(np.array(sizes), most)
+        for u in range(most + 1):
+            used, bins = u, 0
+            for n in sizes:
+                if used and used + n > most:
+                    bins, used = bins + 1, 0
+                used += n
+            k = int(np.searchsorted(at, u, side="right")) - 1
+            assert (opened[k], fill[k] + (u if opened[k] == 0 else 0)) == (bins, used)
