@@ -54,17 +54,17 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
 
 def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
     """(i, j, strand, hits) of pairs i < j with more than ``sample_thresh`` sample words of j among the words of 8
-    bases of i (strand 1) or of its reverse complement (-1); both reads at least a window long.
+    bases of i (strand 1) or of its reverse complement (-1); i is at least a window long, j of any length.
 
     This is the all-pairs search: it finds by an equi-join exactly the pairs that the sample filter lets through.
     """
-    long = reads.where(F.length("bases") >= config.window_len).select("seq_id", "bases")
-    long = by_read(long)
+    placed = by_read(reads.select("seq_id", "bases"))
+    long = placed.where(F.length("bases") >= config.window_len)
     sides = [F.struct(F.lit(1).alias("strand"), F.col("bases").alias("b"))]
     if config.rc_check:
         sides.append(F.struct(F.lit(-1).alias("strand"), reverse_complement("bases").alias("b")))
     own = long.select("seq_id", F.explode(F.array(*sides)).alias("s")).select("seq_id", "s.strand", F.explode(F.array_distinct(words("s.b", 8))).alias("word"))
-    samples = long.select("seq_id", F.explode(sample_words("bases")).alias("word")).groupBy("seq_id", "word").agg(F.count("*").alias("n"))
+    samples = placed.select("seq_id", F.explode(sample_words("bases")).alias("word")).groupBy("seq_id", "word").agg(F.count("*").alias("n"))
     if left is not None:
         own = own.join(left.select("seq_id").distinct(), "seq_id", "left_semi")
     if right is not None:

@@ -253,3 +253,12 @@ def test_bin_passage_tells_what_filling_does():
                 used += n
             k = int(np.searchsorted(at, u, side="right")) - 1
             assert (opened[k], fill[k] + (u if opened[k] == 0 else 0)) == (bins, used)
+
+
+def test_sample_hits_take_later_reads_below_the_window(spark):
+    r = random.Random(7)
+    b = "".join(r.choice("ACGT") for _ in range(150))
+    reads = spark.createDataFrame([(0, b[30:120]), (1, b), (2, b[40:130]), (3, b[20:140]), (4, None)], "seq_id bigint, bases string")
+    got = {(x.i, x.j) for x in sample_hits(reads, ClusterConfig()).where("strand = 1").collect()}
+    assert got == {(1, 2), (1, 3)}
+    assert (1, 2) in {(x.i, x.j) for x in C.match_edges(reads.where("bases is not null"), ClusterConfig(), "all_pairs").collect()}
