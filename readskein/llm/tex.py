@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 _DEFINED = re.compile(r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand|[gex]?def)\*?\s*\{?\s*\\([A-Za-z@]+)\s*\}?\s*((?:\[[^\]]*\]|#\d)*)\s*\{")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])\\?-[ \t]*%*[ \t]*\n[ \t]*%*[ \t]*(?=[^\W\d_])")
@@ -72,18 +73,38 @@ def words(text: str) -> list[str]:
     return _WORD(text.lower())
 
 
+def _written_out(own: dict[str, str]) -> Callable[[str], str]:
+    """A function that writes out the abbreviations in a text, and those within them at any depth; one that stands in
+    itself stays where it does so."""
+    use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, own), key=len, reverse=True)) + r")(?![A-Za-z@])(\{\})?")
+    whole: dict[str, str] = {}
+
+    def put(text: str) -> str:
+        return use.sub(lambda m: " " + whole[m.group(1)] + ("" if m.group(2) else " ") if m.group(1) in whole else m.group(), text)
+
+    inner = {name: list(dict.fromkeys(m.group(1) for m in use.finditer(body))) for name, body in own.items()}
+    for first in own:
+        path = [] if first in whole else [first]
+        open_now, at = set(path), dict.fromkeys(path, 0)
+        while path:  # a stack of its own, as nesting may be deeper than calls may be
+            name = path[-1]
+            if at[name] < len(inner[name]):
+                to = inner[name][at[name]]
+                at[name] += 1
+                if to not in whole and to not in open_now:
+                    path.append(to)
+                    open_now.add(to)
+                    at[to] = 0
+            else:
+                whole[name] = put(own[name])
+                open_now.remove(path.pop())
+    return put
+
+
 def _plain(text: str) -> str:
     own, formats = abbreviations(text)
     if own:
-        use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, own), key=len, reverse=True)) + r")(?![A-Za-z@])(\{\})?")
-
-        def write_out(m: re.Match) -> str:
-            return " " + own[m.group(1)] + ("" if m.group(2) else " ")
-
-        for _ in range(3):  # abbreviations may stand in one another, but not for ever
-            text, n = use.subn(write_out, text)
-            if not n or len(text) > 4_000_000:
-                break
+        text = _written_out(own)(text)
     text = _SILENT.sub(" ", text)
     text = _ACCENT.sub(r"\1", text)
     text = _LETTER.sub(r"\1", text)

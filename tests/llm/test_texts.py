@@ -26,6 +26,17 @@ def test_words_of_tex():
     assert words("Ünder_score ÉT") == ["under", "score", "et"]
 
 
+def test_abbreviations_within_abbreviations():
+    names = ["a" * (k + 1) for k in range(40)]
+    chain = "".join(f"\\def\\{a}{{{a}x \\{b}}}" for a, b in zip(names, names[1:])) + f"\\def\\{names[-1]}{{deep}}"
+    for start in (0, 30, 36):
+        got = words(f"{chain} begin \\{names[start]} end")
+        assert got[got.index("begin") :] == ["begin", *(a + "x" for a in names[start:-1]), "deep", "end"]
+    assert words(r"\def\p{one \p two} start \p end")[-4:] == ["start", "one", "two", "end"]
+    long = words(r"\def\w{a \v}\def\v{b \u}\def\u{c} go \w" + " z" * 2_100_000)
+    assert long[-2_100_004:-2_099_999] == ["go", "a", "b", "c", "z"]
+
+
 def plan(docs, items, size):
     at = {}
     for i, t in items:
