@@ -2,67 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Durable
 
 
-def min_labels(edges: DataFrame, a: str = "i", b: str = "j", nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
-    """(seq_id, cluster_id): each node and the least node of its component.
+def low_high(df: DataFrame, a: Column | str, b: Column | str) -> DataFrame:
+    """(lo, hi): the ends of each link in order; nulls and links of a node with itself are left out."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    ends = df.select(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")).where("a is not null and b is not null and a <> b")
+    return ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each neighbour above a node is linked to the least of the node and its neighbours."""
+    least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least"))
+    return edges.join(least, F.col("lo") == F.col("node"), "left").select(F.coalesce("least", "lo").alias("lo"), "hi")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its neighbours below are linked to the least of these neighbours."""
+    least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("least"))
+    joined = edges.join(least, F.col("hi") == F.col("node")).select("lo", "hi", "least")
+    both = joined.select(F.explode(F.array("lo", "hi")).alias("hi"), F.col("least").alias("lo"))
+    return both.where(F.col("lo") != F.col("hi")).select("lo", "hi").distinct()
 
-    Nodes are the ends of the edges and those of ``nodes`` (seq_id), which may be alone. In each round a node takes
-    the least label of its neighbours, then the label of its label, so paths halve; it ends when no label changes.
-    Nulls and self matches are no edges. Rounds are written to the shared folder.
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one link to a centre. Both rewrites leave exactly such edges as they are."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("hi").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.max("low").alias("low"), F.sum("high").alias("high")).where("high > 1 or (high > 0 and low > 0)").isEmpty()
+
+
+def components(links: DataFrame, a: str = "i", b: str = "j", max_rounds: int | None = None) -> DataFrame:
+    """(node, root) for each node with a link to another; root is the least node of its component.
+
+    Large-star and small-star rewrites alternate until they leave the links unchanged, when each node is linked with
+    the least of its component and nothing else. Both are joins on aggregates that are combined before the shuffle, so
+    a node with most of the links is no longer task. Every round is written to the shared folder and the one before
+    removed. Nulls and links of a node with itself link nothing; repeated rows and both directions are one link; an
+    empty table gives an empty result. Rounds grow as the logarithm of the components; with ``max_rounds`` not ending
+    within them is an error, never a partial result.
     """
-    durable = Durable(edges.sparkSession, "labels")
-    plain = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u is not null and v is not null and u <> v")
-    both, _ = durable.keep(plain.unionByName(plain.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels, path = durable.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("seq_id"), F.least("u", "m").alias("label")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("seq_id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(seen, F.col("seq_id") == F.col("u")).select("seq_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        own = step.select(F.col("seq_id").alias("root"), F.col("label").alias("above"))
-        short = step.join(own, F.col("label") == F.col("root"), "left").select("seq_id", "was", F.least("label", F.coalesce("above", "label")).alias("label"))
-        following, next_path = durable.keep(short)
-        changed = following.where("was <> label").limit(1).count()
+    durable = Durable(links.sparkSession, "components")
+    edges, path = durable.keep(low_high(links, a, b).distinct())
+    rounds = 0
+    while not _all_stars(edges):
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"links still changed after {max_rounds} rounds")
+        following, next_path = durable.keep(_small_star(_large_star(edges)))
         durable.drop(path)
-        labels, path = following.select("seq_id", "label"), next_path
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still changed after {max_rounds} rounds")
-    out = labels.select("seq_id", F.col("label").alias("cluster_id"))
+        edges, path, rounds = following, next_path, rounds + 1
+    members = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return members.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def min_labels(edges: DataFrame, a: str = "i", b: str = "j", nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """(seq_id, cluster_id): each node and the least node of its component.
+
+    Nodes are the ends of the edges and those of ``nodes`` (seq_id), which may be alone. Ends of edges are as in
+    ``components``.
+    """
+    out = components(edges, a, b, max_rounds).select(F.col("node").alias("seq_id"), F.col("root").alias("cluster_id"))
     if nodes is None:
         return out
     alone = nodes.select("seq_id").distinct().join(out, "seq_id", "left_anti").select("seq_id", F.col("seq_id").alias("cluster_id"))
     return out.unionByName(alone)
 
 
-def signed_labels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def signed_labels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(seq_id, cluster_id, orient) over edges (i, j, strand): orient is the product of strands on a path to the
-    least read, which has 1. Where paths disagree, 1 is taken if any path of the least label found has it."""
-    durable = Durable(edges.sparkSession, "signed")
-    plain = edges.where("i is not null and j is not null and i <> j").select("i", "j", F.col("strand").cast("int").alias("s"))
-    both, _ = durable.keep(plain.select(F.col("i").alias("u"), F.col("j").alias("v"), "s").unionByName(plain.select(F.col("j").alias("u"), F.col("i").alias("v"), "s")).distinct())
-    labels, path = durable.keep(both.select(F.col("u").alias("seq_id")).distinct().select("seq_id", F.col("seq_id").alias("label"), F.lit(1).alias("sign")))
-    # structs compare by label first and by -sign next, so the least label with sign 1 wins
-    key = lambda label, sign: F.struct(label.alias("label"), (-sign).alias("minus"))
-    for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("seq_id").alias("v"), "label", "sign"), "v").groupBy("u").agg(F.min(key(F.col("label"), F.col("sign") * F.col("s"))).alias("near"))
-        step = labels.join(seen, F.col("seq_id") == F.col("u")).select("seq_id", F.col("label").alias("was"), "sign", F.least(key(F.col("label"), F.col("sign")), F.col("near")).alias("k"))
-        step = step.select("seq_id", "was", F.col("k.label").alias("label"), F.when(F.col("k.label") == F.col("was"), F.col("sign")).otherwise(-F.col("k.minus")).alias("sign"))
-        own = step.select(F.col("seq_id").alias("root"), F.col("label").alias("above"), F.col("sign").alias("turn"))
-        short = step.join(own, F.col("label") == F.col("root"), "left").select("seq_id", "was", F.coalesce("above", "label").alias("label"), (F.col("sign") * F.coalesce("turn", F.lit(1))).cast("int").alias("sign"))
-        following, next_path = durable.keep(short)
-        changed = following.where("was <> label").limit(1).count()
-        durable.drop(path)
-        labels, path = following.select("seq_id", "label", "sign"), next_path
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"labels still changed after {max_rounds} rounds")
-    out = labels.select("seq_id", F.col("label").alias("cluster_id"), F.col("sign").alias("orient"))
+    least read, which has 1. In a component where paths disagree every read has 1.
+
+    Each read stands twice, as 2 id and, turned, as 2 id + 1; a match joins equal sides, one with strand -1 opposite
+    ones. The least of a read's component is then the least read of its cluster, turned or not. Ids must be below 2^62.
+    """
+    turned = F.when(F.col("strand") < 0, 1).otherwise(0)
+    sides = edges.where("i is not null and j is not null and i <> j").select("i", "j", turned.alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    both = sides.select((2 * F.col("i") + F.col("side")).alias("i"), (2 * F.col("j") + (F.col("side") + F.col("t")) % 2).alias("j"))
+    # integer halves also of negative ids
+    own = components(both, max_rounds=max_rounds).where(F.pmod("node", F.lit(2)) == 0)
+    out = own.select(F.shiftright("node", 1).alias("seq_id"), F.shiftright("root", 1).alias("cluster_id"), F.when(F.pmod("root", F.lit(2)) == 0, 1).otherwise(-1).alias("orient"))
     if nodes is None:
         return out
     alone = nodes.select("seq_id").distinct().join(out, "seq_id", "left_anti")

@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClusterConfig
+from ..functions.arrays import flat, packed, slices, turned, windows_ok
+from ..functions.buckets import SCHEMA, bucket_number, bucket_of, bundled, frequent_keys, partitions, shuffled, whole_buckets
 from ..functions.bases import reverse_complement, sample_words, words
+from ..session import Durable
 from .chunks import by_read
 
 
-def word_table(reads: DataFrame, k: int, either_strand: bool) -> DataFrame:
-    """(seq_id, word, n, first, last, twofold): words of each read with number and outermost places; with
-    ``either_strand`` a word and its reverse complement are one, named by the lesser, and twofold tells whether they
-    are the same. Counted before anything is shuffled."""
+def _counted(codes: np.ndarray, offsets: np.ndarray, k: int, either_strand: bool) -> tuple[np.ndarray, ...]:
+    """(row, word, n, first, last, twofold) of the distinct words of each row; places count from the row's start."""
+    at, row = windows_ok(codes, offsets, k)
+    word = packed(codes, k)[at]
+    twofold = np.zeros(len(word), bool)
     if either_strand:
-        # the complement of a read has the complements of its words, in reverse
-        both = F.arrays_zip(words("bases", k).alias("w"), F.reverse(words(reverse_complement("bases"), k)).alias("c"))
-        placed = by_read(reads).select("seq_id", F.posexplode(both).alias("pos", "b"))
-        placed = placed.select("seq_id", "pos", F.least("b.w", "b.c").alias("word"), (F.col("b.w") == F.col("b.c")).alias("twofold"))
-    else:
-        placed = by_read(reads).select("seq_id", F.posexplode(words("bases", k)).alias("pos", "word")).withColumn("twofold", F.lit(False))
-    return placed.groupBy("seq_id", "word", "twofold").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")).select("seq_id", "word", "n", "first", "last", "twofold")
+        other = turned(codes, k)[at]
+        twofold, word = word == other, np.minimum(word, other)
+    order = np.lexsort((word, row))
+    row, word, place = row[order], word[order], (at - offsets[row])[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(word)) - 1
+    # the order is stable, so equal words stand by place
+    return row[first], word[first], (last - first + 1).astype(np.int32), place[first].astype(np.int32), place[last].astype(np.int32), twofold[order][first]
+
+
+def word_table(reads: DataFrame, k: int, either_strand: bool) -> DataFrame:
+    """(seq_id, word, n, first, last, twofold): the distinct words of k <= 31 bases of each read as base-4 numbers,
+    with how often they occur and their outermost places; with ``either_strand`` a word and its reverse complement are
+    one, named by the lesser, and twofold tells whether they are the same.
+
+    ``reads`` has one row per seq_id. Words with a character other than A, C, G, T are left out, null and short bases
+    have none. Counted in Arrow batches, before anything is shuffled.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("words have 1 to 31 bases")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                row, *rest = _counted(*flat(part.column(1)), k, either_strand)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *map(pa.array, rest)], ["seq_id", "word", "n", "first", "last", "twofold"])
+
+    rows = reads.where(F.length("bases") >= k).select(F.col("seq_id").cast("bigint").alias("seq_id"), "bases")
+    return rows.mapInArrow(count, "seq_id bigint, word bigint, n int, first int, last int, twofold boolean")
+
+
+#: Rows of one word that meet in one task; the rows of more frequent words meet in blocks of so many.
+BLOCK = 2048
+_WORD = np.dtype([("key", "i8"), ("seq", "i8"), ("n", "i4"), ("first", "i4"), ("last", "i4"), ("flags", "i4")])
+_TWOFOLD, _LEFT, _RIGHT = 1, 2, 4
+
+
+def in_blocks(rows: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """All pairs of rows of the same ``key``, as columns one and two (structs of the other columns): each two rows in both
+    orders, and each row with itself.
+
+    A key's rows are dealt into blocks by hash, as many as its number of rows asks for, and every pair of blocks meets
+    under a key of its own. So the pairs of a hot key are spread over many tasks; rows are copied once per block.
+    """
+    rest = [c for c in rows.columns if c != key]
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = rows.join(blocks, key).select(key, F.struct(*rest).alias("_row"), F.pmod(F.xxhash64(*rest), F.col("_n")).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
+    one = dealt.select(key, F.col("_own").alias("_x"), F.col("_other").alias("_y"), F.col("_row").alias("one"))
+    two = dealt.select(key, F.col("_other").alias("_x"), F.col("_own").alias("_y"), F.col("_row").alias("two"))
+    return one.hint("merge").join(two.hint("merge"), [key, "_x", "_y"]).select(key, "one", "two")
 
 
 def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None = None, right: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
@@ -30,21 +83,60 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
     A pair needs ``alpha`` shared words, occurrences counted on both sides, whose outermost places in i are at least
     ``beta`` apart; if i is shorter than the window, one word and a quarter of beta. Reads below ``min_len`` take no
     part. ``left`` and ``right`` (seq_id) restrict i and j; ``symmetric`` gives both orders and no relief for short
-    reads. Words are counted per read first, so a repeated word costs one row a read; words in more than
+    reads. Words are numbers, counted per read and shuffled packed; what the pairs of reads share is added up in the
+    bucket of the words before it is shuffled. Words of more than ``BLOCK`` reads meet in blocks. Words in more than
     ``max_word_freq`` reads nominate nobody if that is set.
     """
+    spark = reads.sparkSession
     long = reads.where(F.length("bases") >= config.min_len).select("seq_id", "bases", F.length("bases").alias("len"))
-    table = word_table(long, config.kmer_len, config.rc_check)
-    if config.max_word_freq is not None:
-        few = table.groupBy("word").count().where(F.col("count") <= config.max_word_freq).select("word")
-        table = table.join(few, "word", "left_semi")
-    a = table if left is None else table.join(left.select("seq_id").distinct(), "seq_id", "left_semi")
-    b = table if right is None else table.join(right.select("seq_id").distinct(), "seq_id", "left_semi")
-    a = a.select(F.col("seq_id").alias("i"), "word", (F.col("n") * F.when(F.col("twofold"), 2).otherwise(1)).alias("ni"), "first", "last")
-    b = b.select(F.col("seq_id").alias("j"), "word", F.col("n").alias("nj"))
-    # Words outgrow what the size of the reads lets the planner expect, so it must not broadcast them.
-    met = a.hint("merge").join(b.hint("merge"), "word").where("i <> j" if symmetric else "i < j")
-    pairs = met.groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj")).alias("shared"), (F.max("last") - F.min("first")).alias("span"))
+    flags = F.lit(0)
+    rows = long.select(F.col("seq_id").cast("bigint").alias("seq_id"), "bases")
+    for bit, side in ((_LEFT, left), (_RIGHT, right)):
+        if side is None:
+            flags = flags + bit
+        else:
+            rows = rows.join(side.select("seq_id").distinct().withColumn(f"side{bit}", F.lit(bit)), "seq_id", "left")
+            flags = flags + F.coalesce(f"side{bit}", F.lit(0))
+    rows = rows.select("seq_id", "bases", flags.alias("flags")).where("flags > 0")
+    k, either, limit, block = config.kmer_len, config.rc_check, config.max_word_freq, BLOCK
+    size = rows.agg(F.count("*"), F.sum(F.length("bases"))).first()
+    buckets = bucket_number(spark, size[1] or 0)
+    hot = {} if buckets == partitions(spark) else frequent_keys(rows, size[0], lambda batch: _counted(*flat(batch.column(1)), k, either)[1], buckets)
+    hot = np.array(sorted(hot), np.int64)  # words that no bucket should hold
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=4_000_000):
+                row, word, n, first, last, twofold = _counted(*flat(part.column(1)), k, either)
+                out = np.empty(len(row), _WORD)
+                out["key"], out["n"], out["first"], out["last"] = word, n, first, last
+                out["seq"], out["flags"] = part.column(0).to_numpy()[row], part.column(2).to_numpy()[row] | (twofold * _TWOFOLD)
+                to = bucket_of(word, buckets).astype(np.int64)
+                to[np.isin(word, hot)] = -1
+                yield bundled(out, to)
+
+    bundles, _ = Durable(spark, "words").keep(rows.mapInArrow(spread, SCHEMA))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words_ in whole_buckets(batches, _WORD):
+            yield from _meetings(words_, symmetric, limit, block)
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words_ in whole_buckets(batches, _WORD):
+            yield _met(words_["seq"], None, words_["n"], words_["first"], words_["last"], words_["key"], words_["flags"])
+
+    met, _ = Durable(spark, "met").keep(shuffled(bundles.where("bucket >= 0")).mapInArrow(meet, MET))
+    pairs = met.where("j is not null").select("i", "j", "shared", "first", "last")
+    big = met.where("j is null").unionByName(bundles.where("bucket < 0").mapInArrow(raw, MET))
+    big = big.select("word", F.col("i").alias("seq"), F.col("shared").alias("n"), "first", "last", "flags")
+    if limit is not None:
+        big = big.join(big.groupBy("word").count().where(F.col("count") <= limit).select("word"), "word", "left_semi")
+    if not big.isEmpty():
+        apart = F.col("one.seq") != F.col("two.seq") if symmetric else F.col("one.seq") < F.col("two.seq")
+        blocks = in_blocks(big, "word", block).where(apart & (F.col("one.flags").bitwiseAND(_LEFT) > 0) & (F.col("two.flags").bitwiseAND(_RIGHT) > 0))
+        times = F.col("one.n") * F.col("two.n") * F.when(F.col("one.flags").bitwiseAND(_TWOFOLD) > 0, 2).otherwise(1)
+        pairs = pairs.unionByName(blocks.select(F.col("one.seq").alias("i"), F.col("two.seq").alias("j"), times.alias("shared"), F.col("one.first").alias("first"), F.col("one.last").alias("last")))
+    pairs = pairs.groupBy("i", "j").agg(F.sum("shared").alias("shared"), (F.max("last") - F.min("first")).alias("span"))
     if symmetric:
         return pairs.where((F.col("shared") >= config.alpha) & (F.col("span") >= config.beta))
     short = pairs.where(F.col("span") >= config.beta >> 2).join(long.select(F.col("seq_id").alias("i"), "len"), "i")
@@ -52,6 +144,50 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
     return short.where(relaxed | ((F.col("shared") >= config.alpha) & (F.col("span") >= config.beta))).select("i", "j", "shared", "span")
 
 
+#: Sums of a bucket over pairs of reads; with null j a row of a word of too many reads, whose n is in shared.
+MET = "i bigint, j bigint, shared bigint, first int, last int, word bigint, flags int"
+
+
+def _met(i, j, shared, first, last, word=None, flags=None) -> pa.RecordBatch:
+    n = len(i)
+    no = lambda t: pa.nulls(n, t)
+    cols = [pa.array(i), no(pa.int64()) if j is None else pa.array(j), pa.array(shared.astype(np.int64)), pa.array(first), pa.array(last), no(pa.int64()) if word is None else pa.array(word), no(pa.int32()) if flags is None else pa.array(flags)]
+    return pa.RecordBatch.from_arrays(cols, ["i", "j", "shared", "first", "last", "word", "flags"])
+
+
+def _meetings(rows: np.ndarray, symmetric: bool, limit: int | None, block: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """What each two reads of a bucket share, added up over about ``most`` meetings at a time."""
+    seqs, own = np.unique(rows["seq"], return_inverse=True)
+    order = np.lexsort((own, rows["key"]))
+    rows, own = rows[order], own[order]
+    starts = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+    sizes = np.diff(np.append(starts, len(rows)))
+    for s, n in zip(starts[sizes > block], sizes[sizes > block], strict=True):
+        x = rows[s : s + n]
+        yield _met(x["seq"], None, x["n"], x["first"], x["last"], x["key"], x["flags"])
+    meet = np.repeat((sizes > 1) & (sizes <= block) & (sizes <= limit if limit is not None else True), sizes)
+    after = np.where(meet, np.repeat(starts + sizes, sizes) - np.arange(len(rows)) - 1, 0)  # rows of the word that follow
+    done = np.append(0, np.cumsum(after))
+    weight = rows["n"].astype(np.int64) * np.where(rows["flags"] & _TWOFOLD, 2, 1)
+    at = 0
+    while at < len(rows) and done[at] < done[-1]:
+        to = max(at + 1, int(np.searchsorted(done, done[at] + most, side="right")) - 1)
+        a = np.repeat(np.arange(at, to), after[at:to])
+        b = a + 1 + np.arange(len(a)) - np.repeat(done[at:to] - done[at], after[at:to])
+        if symmetric:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        keep = ((rows["flags"][a] & _LEFT) > 0) & ((rows["flags"][b] & _RIGHT) > 0) & (own[a] != own[b])
+        a, b = a[keep], b[keep]
+        at = to
+        if not len(a):
+            continue
+        pair = own[a] * len(seqs) + own[b]
+        order = np.argsort(pair, kind="stable")
+        a, b, pair = a[order], b[order], pair[order]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        yield _met(seqs[own[a[first]]], seqs[own[b[first]]], np.add.reduceat(weight[a] * rows["n"][b], first), np.minimum.reduceat(rows["first"][a], first), np.maximum.reduceat(rows["last"][a], first))
+
+
 def sample_hits(reads: DataFrame, config: ClusterConfig, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
     """(i, j, strand, hits) of pairs i < j with more than ``sample_thresh`` sample words of j among the words of 8
     bases of i (strand 1) or of its reverse complement (-1); i is at least a window long, j of any length.

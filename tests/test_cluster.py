@@ -262,3 +262,60 @@ def test_sample_hits_take_later_reads_below_the_window(spark):
     got = {(x.i, x.j) for x in sample_hits(reads, ClusterConfig()).where("strand = 1").collect()}
     assert got == {(1, 2), (1, 3)}
     assert (1, 2) in {(x.i, x.j) for x in C.match_edges(reads.where("bases is not null"), ClusterConfig(), "all_pairs").collect()}
+
+
+def test_a_long_chain_of_random_ids_ends_in_few_rounds(spark):
+    ids = list(range(100_000))
+    random.Random(1).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])), "i bigint, j bigint").repartition(4)
+    got = min_labels(chain, max_rounds=40).agg({"cluster_id": "max", "seq_id": "count"}).first()
+    assert tuple(got) == (0, 100_000) or tuple(got) == (100_000, 0)
+
+
+def test_paths_that_disagree_leave_every_read_unturned(spark):
+    edges = frame(spark, [(4, 5, 1), (5, 6, -1), (4, 6, 1), (7, 8, -1), (8, 8, -1), (None, 7, 1)])
+    got = {x.seq_id: (x.cluster_id, x.orient) for x in signed_labels(edges, spark.range(4, 10).withColumnRenamed("id", "seq_id")).collect()}
+    assert got == {4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (7, 1), 8: (7, -1), 9: (9, 1)}
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_words_of_many_reads_meet_in_blocks(spark, monkeypatch, symmetric):
+    from readskein.operators import pairs as P
+
+    r = random.Random(9)
+    common = "".join(r.choice("ACGT") for _ in range(70))
+    rows = [(i, "".join(r.choice("ACGT") for _ in range(30)) + common + "N" * (i % 3)) for i in range(30)]
+    reads = spark.createDataFrame([*rows, (50, None), (51, "")], "seq_id bigint, bases string")
+    config = ClusterConfig(kmer_len=8)
+    plain = {tuple(x) for x in candidates(reads, config, symmetric=symmetric).collect()}
+    assert len(plain) >= (870 if symmetric else 435)
+    monkeypatch.setattr(P, "BLOCK", 7)
+    assert {tuple(x) for x in candidates(reads, config, symmetric=symmetric).collect()} == plain
+    some = spark.createDataFrame([(i,) for i in range(10)], "seq_id bigint")
+    assert {(x.i, x.j) for x in candidates(reads, config, left=some, symmetric=symmetric).collect()} == {(x[0], x[1]) for x in plain if x[0] < 10}
+    assert candidates(reads, config.but(max_word_freq=3)).count() <= len(plain)
+    with pytest.raises(ValueError):
+        P.word_table(reads, 40, True)
+
+
+def test_frequent_keys_and_buckets(spark):
+    from readskein.functions import buckets as B
+
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) as k")
+    assert set(B.frequent_keys(rows, 5000, lambda b: b.column(0).to_numpy(), 16)) == {7}
+    kind = np.dtype([("key", "i8"), ("x", "i4")])
+
+    def spread(batches):
+        for b in batches:
+            out = np.zeros(b.num_rows, kind)
+            out["key"] = b.column(0).to_numpy()
+            yield B.bundled(out, B.bucket_of(out["key"], 16))
+
+    def count(batches):
+        import pyarrow as pa
+
+        for n, x in B.whole_buckets(batches, kind):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([len(set(x["key"].tolist()))], pa.int64())], ["bucket", "n", "keys"])
+
+    got = B.shuffled(rows.mapInArrow(spread, B.SCHEMA)).mapInArrow(count, "bucket int, n bigint, keys bigint").collect()
+    assert len({r.bucket for r in got}) == len(got) and sum(r.n for r in got) == 5000 and sum(r.keys for r in got) == 5000 - 1667
