@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .frequency import word_marks
+from .frequency import ngram_marks, word_marks
 from .groups import read_groups
 from .leakage import leaked_items
 from .mixing import Mixture
@@ -34,6 +34,11 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return word_marks(table(spark, base, "wordlists")).where("mark is not null").select(F.col("word").cast("int").alias("word"), "mark")
 
 
+def p5_ngrams(spark: SparkSession, base: str) -> DataFrame:
+    """Runs of up to three words."""
+    return ngram_marks(table(spark, base, "wordlists"), 3)
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
 
@@ -60,7 +65,7 @@ def p8_redacted(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p3_found, p4_found, p5_found, p6_found, p7_mixed, p7_shares, p8_found, p8_redacted)
+    own = (p1_found, p3_found, p4_found, p5_found, p5_ngrams, p6_found, p7_mixed, p7_shares, p8_found, p8_redacted)
     return {q.__name__: q for q in own}
 
 
@@ -107,6 +112,18 @@ c AS (SELECT word, count(DISTINCT seq_id) AS r FROM v GROUP BY word)
 SELECT word, CASE WHEN r <= 2 THEN 'rare' ELSE 'common' END AS mark FROM c, n WHERE r <= 2 OR r > 0.02 * n
 """
 
+P5_NGRAMS_SQL = """
+WITH l AS (SELECT row_number() OVER () AS line, seq_id, word_seen AS w FROM wordlists WHERE seq_id IS NOT NULL),
+t AS (SELECT line, seq_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM l),
+v AS MATERIALIZED (SELECT * FROM t WHERE word IS NOT NULL AND word <> -1),
+n AS (SELECT count(DISTINCT seq_id) AS n FROM v),
+g AS (SELECT seq_id, CAST(word AS VARCHAR) AS ngram FROM v
+  UNION ALL SELECT a.seq_id, concat(a.word, ' ', b.word) FROM v a JOIN v b ON a.line = b.line AND b.p = a.p + 1
+  UNION ALL SELECT a.seq_id, concat(a.word, ' ', b.word, ' ', c.word) FROM v a JOIN v b ON a.line = b.line AND b.p = a.p + 1 JOIN v c ON c.line = a.line AND c.p = a.p + 2),
+c AS (SELECT ngram, count(*) AS occurrences, count(DISTINCT seq_id) AS records FROM g GROUP BY ngram)
+SELECT ngram, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.02 * n THEN 'common' END AS mark FROM c, n
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_ngrams": P5_NGRAMS_SQL}

@@ -1,10 +1,12 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readskein.llm.frequency import marked_terms, ngram_counts, word_marks
+from readskein.functions.buckets import mix
+from readskein.llm.frequency import marked_terms, ngram_counts, ngram_marks, word_marks
 from readskein.llm.groups import clone_links, connected_groups, read_groups
 
 
@@ -69,7 +71,7 @@ def brute(rows, longest):
     return {(g, n, len(rec[g])) for g, n in occ.items()}
 
 
-@pytest.mark.parametrize("longest", [1, 3])
+@pytest.mark.parametrize("longest", [1, 3, 5])
 def test_counts_match_brute_force(spark, longest):
     r = random.Random(longest)
     rows = [(r.randrange(25), [r.choice([1, 1, 1, 2, 3, None, r.randrange(50)]) for _ in range(r.randrange(0, 30))]) for _ in range(60)]
@@ -94,3 +96,23 @@ def test_marks(spark):
     assert word_marks(spark.createDataFrame([], "block bigint, seq_id bigint, word_seen array<int>")).collect() == []
     counts = spark.createDataFrame([([1], 5, 3)], "ngram array<int>, occurrences bigint, records bigint")
     assert marked_terms(counts, 1000).first().mark is None and marked_terms(counts, 100).first().mark == "common"
+
+
+def test_a_token_of_every_record_is_spread_over_tasks(spark):
+    r = random.Random(4)
+    rows = [(i, [7] * r.randrange(1, 4) + [100 + r.randrange(300), 7, 8]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, t array<bigint>").repartition(3)
+    for longest in (1, 2):
+        got = {(tuple(x.ngram), x.occurrences, x.records) for x in ngram_counts(df, "id", "t", longest).collect()}
+        assert got == brute(rows, longest)
+    parts = set()
+    bounds = np.array([5, 7, 7, 7, 90])
+    low, high = np.searchsorted(bounds, 7, "left"), np.searchsorted(bounds, 7, "right")
+    parts = {int(low + mix(np.array([i]))[0] % np.uint64(high - low + 1)) for i in range(3000)}
+    assert len(parts) == 4
+
+
+def test_ngrams_of_wordlists(spark):
+    rows = [(0, 1, [5, 6, -1, 5, 6]), (1, 2, [5, 6, 7]), (1, 3, [6, None, 5])]
+    got = {x.ngram: (x.occurrences, x.records, x.mark) for x in ngram_marks(spark.createDataFrame(rows, "block bigint, seq_id bigint, word_seen array<int>"), 3).collect()}
+    assert got == {"5": (4, 3, "common"), "6": (4, 3, "common"), "7": (1, 1, "rare"), "5 6": (3, 2, "rare"), "6 7": (1, 1, "rare"), "5 6 7": (1, 1, "rare")}
