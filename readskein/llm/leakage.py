@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bases import mix
+from ..functions.buckets import mix
 from .tex import words
 
 #: Items are held by the executors in blocks of about so many characters.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readskein.llm import neardup as N
-from readskein.llm.bases import canonical, flat, packed
+from readskein.functions.arrays import flat, packed, turned, windows_ok
 from readskein.llm.spans import anchors, shared_spans
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -86,7 +86,8 @@ def test_a_very_long_read(spark):
 def test_words():
     text = "ACGTNACGTTGCAacgtta"
     codes, offsets = flat(pa.array([text, "", "AC", "GGGTTTACC"]))
-    word, row = canonical(codes, offsets, 4)
+    at, row = windows_ok(codes, offsets, 4)
+    word = np.minimum(packed(codes, 4)[at], turned(codes, 4)[at])
     number = lambda w: int("".join(str("ACGT".index(c)) for c in w), 4)
     want = []
     for i, t in enumerate([text, "", "AC", "GGGTTTACC"]):
@@ -162,4 +163,81 @@ def test_forest_shape_reaches_the_recall():
         trees, d = N.forest_shape(t)
         assert 1 - (1 - t**d) ** trees >= N.RECALL
     assert N.forest_shape(0.8)[1] > N.forest_shape(0.5)[1]
-    assert isinstance(np.int64(N.sketch_limit(156, 0.5)), np.int64)
+
+
+def test_minima_agree_as_often_as_words_do():
+    r = np.random.default_rng(3)
+    for size in (60, 400):
+        agree = []
+        for _ in range(60):
+            common, one, two = r.integers(0, 1 << 40, size), r.integers(0, 1 << 40, size // 2), r.integers(0, 1 << 40, size // 2)
+            word = np.concatenate([common, one, common, two])
+            row = np.repeat([0, 1], [size + size // 2] * 2)
+            least = N.minima(word, row, 2, 260)
+            agree.append((least[0] == least[1]).mean())
+        assert abs(np.mean(agree) - 0.5) < 0.02
+    few = N.minima(np.array([5, 9, 5, 9, 1]), np.array([0, 0, 1, 1, 2]), 3, 260)
+    assert (few[0] == few[1]).all() and not (few[0] == few[2]).all() and len(np.unique(few[2])) > 100
+
+
+def test_the_prefix_is_shortened_until_the_recall_is_reached(spark):
+    trees, d = N.forest_shape(0.5)
+    of = lambda *s: spark.createDataFrame([(x,) for x in s], "similarity double")
+    assert N.estimated_recall(of(0.95, 1.0), d + 2, trees) >= N.RECALL
+    assert N.estimated_recall(of(0.95, 0.5, 0.5), d + 2, trees) < 0.9 < N.estimated_recall(of(0.5), d + 1, trees) < N.RECALL
+    assert N.estimated_recall(of(0.5), d, trees) >= N.RECALL and N.estimated_recall(of(0.5).limit(0), d, trees) == 0
+
+
+@pytest.mark.parametrize("k", [5, 12, 20, 25, 31])
+def test_words_of_any_length_are_compared_exactly(k):
+    r = random.Random(k)
+    texts = ["".join(r.choice("ACGTN") if r.random() < 0.03 else r.choice("ACGT") for _ in range(r.randrange(0, 120))) for _ in range(20)]
+    texts += [t[3:] + "ACG" for t in texts]
+    left, right = [r.choice(texts) for _ in range(60)], [r.choice(texts) for _ in range(60)]
+    common, a, b = N.base_words(k, 1).compared(pa.array(left), pa.array(right))
+    for x, y, c, m, n in zip(left, right, common, a, b, strict=True):
+        u, v = word_set(x, k), word_set(y, k)
+        assert (c, m, n) == (len(u & v), len(u), len(v))
+    with pytest.raises(ValueError):
+        N.base_words(32, 1)
+
+
+def test_shingles_are_compared_word_by_word():
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "b", "É", "d1"]) for _ in range(r.randrange(0, 14))) for _ in range(30)]
+    left, right = [r.choice(texts) for _ in range(80)], [r.choice(texts) for _ in range(80)]
+    shingles = lambda t: {tuple(t.lower().split()[p : p + 5]) for p in range(max(1, len(t.split()) - 4))} - {()}
+    common, a, b = N.text_words().compared(pa.array(left), pa.array(right))
+    for x, y, c, m, n in zip(left, right, common, a, b, strict=True):
+        assert (c, m, n) == (len(shingles(x) & shingles(y)), len(shingles(x)), len(shingles(y)))
+
+
+def test_a_node_of_many_records_meets_in_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    root = "".join(r.choice("ACGT") for _ in range(300))
+    rows = []
+    for i in range(60):
+        b = list(root)
+        b[r.randrange(300)] = "ACGT"[i % 4]
+        rows.append((i, "".join(b)))
+    df = spark.createDataFrame(rows, "seq_id bigint, bases string")
+    run = lambda: {tuple(x) for x in N.expand_pairs(*N.similar_records(df, N.base_words(12, 40), threshold=0.5)).collect()}
+    plain = run()
+    monkeypatch.setattr(N, "BLOCK", 16)
+    assert run() == plain == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_a_symbol_of_very_many_records_is_dealt_out(spark, monkeypatch):
+    from readskein.llm import spans as S
+
+    rows = [(i, "ACGTTGCA"[i % 5 :] + "A" * (70 + i % 9) + "C" * (i % 3)) for i in range(60)] + reads(6, 40)
+    rows = [x for x in rows if x[0] is not None and x[0] < 900] + [(2000, "T" * 200)]
+    rows = [(1000 + k, b) for k, (_, b) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "seq_id bigint, bases string")
+    want = brute_spans(rows, 60)
+    assert {r.seq_id: r.n_shared for r in shared_spans(df).collect()} == want
+    monkeypatch.setattr(S, "ROWS", 100)
+    monkeypatch.setattr(S, "STRIP", 64)
+    asked = []
+    monkeypatch.setattr(S, "frequent_keys", lambda df, n, keys, buckets: asked.append({int(k): 3 for k in np.unique(keys(pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([b for _, b in rows])], ["id", "text"])))}) or asked[-1])
+    assert {r.seq_id: r.n_shared for r in shared_spans(df).collect()} == want and asked
