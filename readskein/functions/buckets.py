@@ -90,9 +90,11 @@ def frequent_keys(df: DataFrame, n_rows: int, keys: Callable[[pa.RecordBatch], n
         for batch in batches:
             if batch.num_rows:
                 k, n = np.unique(keys(batch), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *k.astype(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n.tolist()], pa.int64())], ["key", "n"])
 
+    # the row without key holds the sum over all
     counts = df.sample(False, min(1.0, SAMPLE / max(1, n_rows)), 1).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = {r.key: r.n for r in counts.orderBy(F.col("key").isNull().desc(), F.col("n").desc()).limit(2 * buckets + 1).collect()}
+    total = top.pop(None, 0)
     least = max(total / buckets / 2, 20)
-    return {r.key: max(2, math.ceil(2 * r.n * buckets / total)) for r in counts.where(F.col("n") > least).limit(2 * buckets).collect()}
+    return {k: max(2, math.ceil(2 * n * buckets / total)) for k, n in top.items() if n > least}
