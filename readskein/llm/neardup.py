@@ -134,7 +134,8 @@ class base_words(_Words):
         word = np.minimum(packed(codes, self.k)[at], turned(codes, self.k)[at])
         bits = 2 * self.k
         if bits + len(texts).bit_length() <= 62:
-            both = np.unique((row.astype(np.int64) << bits) | word)
+            both = np.sort((row.astype(np.int64) << bits) | word)
+            both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
             row, word = both >> bits, both & ((1 << bits) - 1)
         else:
             order = np.lexsort((word, row))
@@ -286,7 +287,8 @@ def similar_records(records: DataFrame, words: _Words, id: str = "seq_id", text:
                 word, row = words(part.column(1))
                 if not len(word):
                     continue
-                which, row = np.unique(row, return_inverse=True)
+                new = np.append(True, row[1:] != row[:-1])
+                which, row = row[new], np.cumsum(new) - 1
                 least = minima(word, row, len(which), n_hashes)
                 label = labels(least, trees, prefix)
                 bits = np.packbits((least[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)

@@ -26,7 +26,7 @@ from ..functions.buckets import SCHEMA, bucket_number, bucket_of, bundled, frequ
 from ..session import Durable
 
 #: Rounds of naming; higher symbols stand for longer stretches, and windows without some fall back to lower ones.
-ROUNDS = 5
+ROUNDS = 4
 #: Symbols of a level that a window must hold for one of them to be chosen; at the lowest level one is enough.
 SEVERAL = 4
 #: Rows of a bucket; each may stand for some dozen windows.
@@ -169,7 +169,7 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _kind(span: int) -> np.dtype:
-    return np.dtype([("key", "i8"), ("id", "i8"), ("start", "i4"), ("count", "i4"), ("text", "i8", (-(-(2 * span - 1) // 30) + 1,))])
+    return np.dtype([("key", "i8"), ("id", "i8"), ("start", "i4"), ("count", "i2"), ("text", "i8", (-(-(2 * span - 1) // 30),))])
 
 
 def stretches(codes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, span: int, rounds: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, span: int
     length = count + span - 1
     if len(row):
         word = packed(np.append(codes & 3, np.zeros(60, np.uint8)), 30)
-        for i in range(out["text"].shape[1] - 1):
+        for i in range(out["text"].shape[1]):
             left = np.clip(length - 30 * i, 0, 30)  # bases of the stretch in this number
             mask = ((np.int64(1) << (2 * left)) - 1) << (60 - 2 * left)
             out["text"][:, i] = word[np.minimum(at + 30 * i, len(word) - 1)] & mask
@@ -272,7 +272,7 @@ def verified(rows: np.ndarray, span: int, hot: np.ndarray) -> tuple[tuple, np.nd
     texts = np.bincount(symbol, head)
     open_ = (head | ~done) & ((texts[symbol] > 1) | np.isin(rows["key"], hot)) if len(rows) else done
     some, settled = rows[open_], done[open_]
-    n = some["count"]
+    n = some["count"].astype(np.int64)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     text, ids, start, settled = np.repeat(some["text"], n, 0), np.repeat(some["id"], n), np.repeat(some["start"], n) + at, np.repeat(settled, n)
     window = _windows(text, at, span)
@@ -314,8 +314,9 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
         raise ValueError("span must be at least 30")
     spark = records.sparkSession
     rows = records.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= span)).distinct()
+    rows, _ = Durable(spark, "spans").keep(rows)
     size = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
-    buckets = bucket_number(spark, (size[1] or 0) // 10, ROWS)
+    buckets = bucket_number(spark, (size[1] or 0) // 15, ROWS)
     kind, open_kind = _kind(span), _open_kind(span)
     of = lambda batch: stretches(*flat(batch.column(1)), batch.column(0).to_numpy(), span, rounds)
     hot = {} if buckets == partitions(spark) else frequent_keys(rows, size[0], lambda batch: of(batch)["key"], buckets)
@@ -324,7 +325,7 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=100_000):
                 out = of(part)
                 key = out["key"].copy()
                 if len(names):
