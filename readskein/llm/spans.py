@@ -220,14 +220,14 @@ def _open_kind(span: int) -> np.dtype:
     return np.dtype([("key", "i8"), ("id", "i8"), ("at", "i4"), ("shared", "i4"), ("window", "i8", (-(-span // 30),))])
 
 
-def _intervals(id_, low, high, span: int, n: int) -> pa.RecordBatch:
+def _intervals(id_, low, high, span: int, n: int, strip_len: int) -> pa.RecordBatch:
     """Windows from low to high cover the positions from low to high + span - 1; these go to the bucket of their strip."""
     low, high = low.astype(np.int64), high.astype(np.int64) + span  # the end is outside
-    parts = (high - 1) // STRIP - low // STRIP + 1
-    id_, strip = np.repeat(id_, parts), np.repeat(low // STRIP, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    parts = (high - 1) // strip_len - low // strip_len + 1
+    id_, strip = np.repeat(id_, parts), np.repeat(low // strip_len, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     out = np.zeros(len(id_), _SHARED)
     out["id"], out["strip"] = id_, strip
-    out["low"], out["high"] = np.maximum(np.repeat(low, parts) - strip * STRIP, 0), np.minimum(np.repeat(high, parts) - strip * STRIP, STRIP)
+    out["low"], out["high"] = np.maximum(np.repeat(low, parts) - strip * strip_len, 0), np.minimum(np.repeat(high, parts) - strip * strip_len, strip_len)
     out["key"] = (mix(id_) + strip.astype(np.uint64)).view(np.int64)
     return bundled(out, bucket_of(out["key"], n).astype(np.int64))
 
@@ -317,7 +317,7 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
     rows, _ = Durable(spark, "spans").keep(rows)
     size = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
     buckets = bucket_number(spark, (size[1] or 0) // 15, ROWS)
-    kind, open_kind = _kind(span), _open_kind(span)
+    kind, open_kind, strip_len = _kind(span), _open_kind(span), STRIP
     of = lambda batch: stretches(*flat(batch.column(1)), batch.column(0).to_numpy(), span, rounds)
     hot = {} if buckets == partitions(spark) else frequent_keys(rows, size[0], lambda batch: of(batch)["key"], buckets)
     names = np.array(sorted(hot), np.int64)
@@ -337,7 +337,7 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in whole_buckets(batches, kind):
             runs, left = verified(held, span, names)
-            yield _intervals(*runs, span, buckets)
+            yield _intervals(*runs, span, buckets, strip_len)
             if len(left):
                 yield bundled(left, -1 - bucket_of(left["key"], buckets).astype(np.int64))
 
@@ -349,13 +349,13 @@ def shared_spans(records: DataFrame, id: str = "seq_id", text: str = "bases", sp
             common = (_several(held["id"], group) | (np.maximum.reduceat(held["shared"], firsts) > 0))[group]
             held = held[common & (held["shared"] == 0)]
             held = held[np.lexsort((held["at"], held["id"]))]
-            yield _intervals(*_runs_of(held["id"], held["at"]), span, buckets)
+            yield _intervals(*_runs_of(held["id"], held["at"]), span, buckets, strip_len)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in whole_buckets(batches, _SHARED):
             held = held[np.lexsort((held["low"], held["strip"], held["id"]))]
             new = np.append(True, (held["id"][1:] != held["id"][:-1]) | (held["strip"][1:] != held["strip"][:-1]))[: len(held)]
-            shift = (np.cumsum(new) - 1) * (2 * STRIP)
+            shift = (np.cumsum(new) - 1) * (2 * strip_len)
             low, high = held["low"] + shift, held["high"] + shift
             reached = np.append(np.int64(-1), np.maximum.accumulate(high)[:-1]) if len(high) else high
             covered = np.maximum(0, high - np.maximum(low, reached))
