@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
-Windows of a fixed number of words are taken from the items and from every place of every document. A random walk
-(CGK) embeds each window into a longer sequence such that few edits become few unequal places; a repetition hashes
-a random sample of these places, and windows with the same hash meet. As many repetitions are made as the target
-recall asks for. Candidates are verified by their exact edit distance in words.
+Windows of a fixed number of words are taken from the items and from every place of every document. Random walks (CGK)
+embed each window into a longer sequence such that few edits become few unequal places; a repetition hashes a random
+sample of the places of a walk, and windows with the same hash meet. As many repetitions are made as the target recall
+asks for. What met is verified by its exact edit distance in words, unless it lacks too many of the item's words.
 
 Words that no item holds are one and the same symbol: this leaves every distance to an item as it is. A window with
 more of them than edits allowed can't match, and is not embedded.
@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import mix
+from ..session import Durable
 from .tex import words
 
 #: Items are held by the executors in blocks of about so many characters.
 BLOCK_CHARS = 8_000_000
-SAMPLE = 5
+#: Places of a walk that a repetition hashes, and repetitions that use the same walk.
+SAMPLE, EACH = 10, 4
+#: Windows that are embedded at a time.
+CHUNK = 32_768
 
 
 @lru_cache
@@ -50,33 +54,39 @@ def repetitions(size: int, edits: int, recall: float, trials: int = 1000) -> int
     starts = np.arange(trials) * size
     one, two = np.array(plain).ravel(), np.array(changed).ravel()
     found = np.zeros(trials, bool)
-    for r in range(1000):
-        found |= embed(one, starts, size, r) == embed(two, starts, size, r)
+    for r, (x, y) in enumerate(zip(keys(one, starts, size, 1000), keys(two, starts, size, 1000), strict=True)):
+        found |= x == y
         if found.mean() >= recall:
             return r + 1
     raise ValueError(f"{edits} edits in {size} words can't be found with recall {recall}")
 
 
-def embed(symbols: np.ndarray, starts: np.ndarray, size: int, repetition: int, sample: int = SAMPLE) -> np.ndarray:
-    """Hash of the sampled places of the walk over the window of ``size`` symbols at each start."""
-    steps = 3 * size
-    draw = random.Random(1000 + repetition)
-    wanted = set(draw.sample(range(steps), min(sample, steps)) if repetition else range(0, steps, max(1, steps // (2 * size))))
-    salt = np.uint64(draw.getrandbits(62) | 1)
+def walk(symbols: np.ndarray, starts: np.ndarray, size: int, number: int) -> np.ndarray:
+    """The embedded window of ``size`` symbols at each start, one row a step: in each step the symbol where the walk
+    stands is written, and its coin for that step tells whether the walk goes on to the next."""
+    salt = np.uint64(random.Random(1000 + number).getrandbits(62) | 1)
     coin = mix(symbols.astype(np.uint64) + salt)  # bit t of it is the symbol's coin in step t
-    place, end = starts.astype(np.int64), starts + size
-    key = np.full(len(starts), salt, np.uint64)
-    top = len(symbols) - 1
-    with np.errstate(over="ignore"):
-        for t in range(max(wanted) + 1):
-            at = np.minimum(place, top)
-            inside = place < end
-            c = coin[at]
-            if t in wanted:
-                key = (key ^ np.where(inside, c, np.uint64(0x1234567))) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            place = place + (inside & ((c >> np.uint64(t % 64)) & np.uint64(1)).astype(bool))
-    return key
+    place, end, top = starts.astype(np.int64), starts + size, len(symbols) - 1
+    out = np.empty((3 * size, len(starts)), np.uint64)
+    for t in range(3 * size):
+        inside = place < end
+        c = coin[np.minimum(place, top)]
+        out[t] = np.where(inside, c, np.uint64(0x1234567))
+        place = place + (inside & ((c >> np.uint64(t % 64)) & np.uint64(1)).astype(bool))
+    return out
+
+
+def keys(symbols: np.ndarray, starts: np.ndarray, size: int, n: int, sample: int = SAMPLE, each: int = EACH) -> Iterator[np.ndarray]:
+    """The hashes of the windows in each of ``n`` repetitions."""
+    for r in range(n):
+        if r % each == 0:
+            steps = walk(symbols, starts, size, r // each)
+        draw = random.Random(r)
+        key = np.zeros(len(starts), np.uint64)
+        with np.errstate(over="ignore"):
+            for t in draw.sample(range(len(steps)), min(sample, len(steps))):
+                key += steps[t] * np.uint64(draw.getrandbits(63) | 1)
+        yield mix(key)
 
 
 def edit_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -106,55 +116,94 @@ class ItemIndex:
             starts += range(len(flat), len(flat) + len(own) - size + 1)
             owner += [item] * max(0, len(own) - size + 1)
             flat += own
-        self.symbols, at, self.owner = np.array(flat + [0], np.int64), np.array(starts, np.int64), np.array(owner, np.int64)
+        self.symbols, self.starts, self.owner = np.array(flat + [0], np.int64), np.array(starts, np.int64), np.array(owner, np.int64)
+        self.n = repetitions(size, edits, recall)
+        self.bits = max(12, min(24, 4 + len(starts).bit_length()))
         self.tables = []
-        for r in range(repetitions(size, edits, recall)):
-            key = embed(self.symbols, at, size, r)
+        for key in keys(self.symbols, self.starts, size, self.n):
             order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], at[order], self.owner[order]))
+            some = np.zeros(1 << self.bits, bool)  # most windows meet nothing, which this tells at once
+            some[(key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+            self.tables.append((key[order], order, some))
+        self.signs = signs(self.symbols, self.starts, size)
 
     def match(self, symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Distinct (document number, item) of the windows within the allowed edits. A document must end with as many
-        symbols 0 as edits are allowed, so that a window whose last words are missing has its full size."""
+        """Distinct (document number, item, least edits) of the windows within the allowed edits. A document must end with
+        as many symbols 0 as edits are allowed, so that a window whose last words are missing has its full size."""
         size, n = self.size, len(symbols) - self.size + 1
         found = []
         if n > 0 and len(self.owner):
             unknown = np.append(0, np.cumsum(symbols == 0))
             longer = np.append(symbols, np.full(self.edits, -1))
             starts = np.flatnonzero((unknown[size:] - unknown[:n] <= self.edits) & (doc[:n] == doc[size - 1 :]))
-            for r, (keys, places, owner) in enumerate(self.tables):
-                key = embed(symbols, starts, size, r)
-                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                count = high - low
-                hit = np.flatnonzero(count)
-                for some in np.array_split(hit, max(1, int(count[hit].sum()) // 200_000)):
-                    c = count[some]
-                    where = np.repeat(some, c)
-                    entry = np.repeat(low[some], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    span = np.arange(size)
-                    b = self.symbols[places[entry][:, None] + span]
-                    a = longer[starts[where][:, None] + np.arange(size + self.edits)]
-                    near = (a == b).all(1) if not self.edits else edit_distance(b, a) <= self.edits
-                    found.append(np.column_stack([doc[starts[where[near]]], owner[entry[near]]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, size: int = 12, edits: int = 0, recall: float = 0.99, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of each document and each item of which a window of ``size`` words stands in the document
-    with at most ``edits`` inserted, deleted or replaced words.
+            for at in range(0, len(starts), CHUNK):
+                found += self._near(symbols, longer, doc, starts[at : at + CHUNK])
+        if not found:
+            return np.zeros((0, 3), np.int64)
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        return found[np.append(True, (found[1:, :2] != found[:-1, :2]).any(1))[: len(found)]]
+
+    def _near(self, symbols: np.ndarray, longer: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """What the windows at these starts meet, verified, in parts."""
+        size, met = self.size, []
+        own = signs(longer, starts, size + self.edits)
+        for key, (known, order, some) in zip(keys(symbols, starts, size, self.n), self.tables, strict=True):
+            may = np.flatnonzero(some[(key >> np.uint64(64 - self.bits)).astype(np.int64)])
+            low, high = np.searchsorted(known, key[may], "left"), np.searchsorted(known, key[may], "right")
+            count = high - low
+            for part in np.array_split(np.arange(len(may)), max(1, int(count.sum()) // 1_000_000)):
+                c = count[part]
+                where = np.repeat(may[part], c)
+                entry = order[np.repeat(low[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+                near = np.bitwise_count(self.signs[entry] & ~own[where]) <= self.edits
+                met.append(np.sort(where[near] * len(self.owner) + entry[near]))
+        met = np.sort(np.concatenate(met))
+        met = met[np.append(True, met[1:] != met[:-1])[: len(met)]]
+        for at in range(0, len(met), 200_000):
+            where, entry = np.divmod(met[at : at + 200_000], len(self.owner))
+            b = self.symbols[self.starts[entry][:, None] + np.arange(size)]
+            a = longer[starts[where][:, None] + np.arange(size + self.edits)]
+            edits = edit_distance(b, a) if self.edits else (a != b).any(1).astype(np.int64)
+            near = edits <= self.edits
+            yield np.column_stack([doc[starts[where[near]]], self.owner[entry[near]], edits[near]])
+
+
+def signs(symbols: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """One bit for each word of a window: within e edits all bits of an item's window but e are among those of a text's."""
+    bit = np.uint64(1) << (mix(symbols.astype(np.int64).view(np.uint64)) >> np.uint64(58))
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        out |= bit[np.minimum(starts + i, len(symbols) - 1)]
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, size: int = 12, edits: int = 0, recall: float = 0.95, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, edits) of each document and each item of which a window of ``size`` words stands in the document
+    with at most ``edits`` inserted, deleted or replaced words, and the least number of these.
 
     Null or empty texts and items shorter than a window match nothing; repeated rows give one result; null ids are
-    dropped. Items are taken in blocks of about ``BLOCK_CHARS`` characters, of which each is compared with all
-    documents, so what executors hold doesn't grow with the number of items.
+    dropped. Items are taken in blocks of about ``BLOCK_CHARS`` characters, so what executors hold doesn't grow with the
+    number of items; where there are several, the documents' words are read out of their markup once and kept.
+    ``recall`` is that of windows with ``edits`` edits; those without edit are all found.
     """
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
     items = items.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).dropna()
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
     docs = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).dropna()
+    read = words
+    if blocks > 1:
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(words(t)) for t in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+        docs, _ = Durable(spark, "words").keep(docs.mapInArrow(plain, "id bigint, text string"))
+        read = str.split
     out = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        index = sc.broadcast(ItemIndex([tuple(r) for r in block.collect()], size, edits, recall))
+        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block.collect()], size, edits, recall))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             get = index.value.vocabulary.get
@@ -162,15 +211,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, size: int = 12, edits:
                 ids = batch.column(0).to_numpy()
                 symbols, doc, held = [], [], 0
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    own = [get(w, 0) for w in words(t)] + [0] * edits
+                    own = [get(w, 0) for w in read(t)] + [0] * edits
                     symbols.append(np.array(own, np.int64))
                     doc.append(np.full(len(own), i))
                     held += len(own)
                     if held > 500_000 or i == batch.num_rows - 1:
                         pairs = index.value.match(np.concatenate(symbols), np.concatenate(doc))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], ["doc_id", "item_id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["doc_id", "item_id", "edits"])
                         symbols, doc, held = [], [], 0
 
-        found = docs.mapInArrow(scan, "doc_id bigint, item_id bigint")
+        found = docs.mapInArrow(scan, "doc_id bigint, item_id bigint, edits int")
         out = found if out is None else out.unionByName(found)
-    return out.distinct().select(F.col("doc_id").alias(id), F.col("item_id").alias(item))
+    return out.groupBy(F.col("doc_id").alias(id), F.col("item_id").alias(item)).agg(F.min("edits").alias("edits"))

@@ -40,7 +40,12 @@ def p5_ngrams(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark"))
+    return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark")).select("doc_id", "item_id")
+
+
+def p6_near(spark: SparkSession, base: str) -> DataFrame:
+    """Also passages of which one word is inserted, missing or another."""
+    return leaked_items(table(spark, base, "documents"), table(spark, base, "benchmark"), edits=1)
 
 
 def _mixture(spark: SparkSession, base: str) -> Mixture:
@@ -65,7 +70,7 @@ def p8_redacted(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p3_found, p4_found, p5_found, p5_ngrams, p6_found, p7_mixed, p7_shares, p8_found, p8_redacted)
+    own = (p1_found, p3_found, p4_found, p5_found, p5_ngrams, p6_found, p6_near, p7_mixed, p7_shares, p8_found, p8_redacted)
     return {q.__name__: q for q in own}
 
 

@@ -71,7 +71,7 @@ def test_leaks_match_brute_force(spark, monkeypatch):
     got = [tuple(x) for x in L.leaked_items(d, i).select("doc_id", "item_id").collect()]
     assert set(got) == want and len(got) == len(want) and (102, 0) in want or len(words(items[0][1])) < 12
     monkeypatch.setattr(L, "BLOCK_CHARS", 1000)  # several blocks of items
-    assert {tuple(x) for x in L.leaked_items(d, i).collect()} == want
+    assert {(x.doc_id, x.item_id) for x in L.leaked_items(d, i).collect()} == want
     assert L.leaked_items(d, i.limit(0)).collect() == [] and L.leaked_items(d.limit(0), i).collect() == []
 
 
@@ -105,6 +105,31 @@ def test_edit_distance_and_recall_with_edits():
     assert L.repetitions(12, 0, 0.99) == 1 and L.repetitions(12, 2, 0.99) > L.repetitions(12, 1, 0.99)
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_edited_passages_in_documents_are_found(spark, n):
+    r = random.Random(10 + n)
+    names = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(names) for _ in range(r.randrange(14, 30)))) for i in range(40)]
+    docs, planted = [], set()
+    for d in range(240):
+        i, t = r.choice(items)
+        w = t.split()
+        at = r.randrange(len(w) - 11)
+        w = w[at : at + 12]
+        for _ in range(n):
+            p = r.randrange(1, len(w) - 1)
+            w = r.choice((w[:p] + ["strange"] + w[p + 1 :], w[:p] + w[p + 1 :], w[:p] + [r.choice(names)] + w[p:]))
+        around = lambda: [r.choice([*names, "other"]) for _ in range(r.randrange(0, 60))]
+        docs.append((d, " ".join(around() + w + around())))
+        planted.add((d, i))
+    got = {(x.doc_id, x.item_id): x.edits for x in L.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=n).collect()}
+    assert len(planted & got.keys()) >= 0.9 * len(planted)
+    for (d, i), e in got.items():  # every result is one
+        a, b = docs[d][1].split(), items[i][1].split()
+        windows = (edits(b[p : p + 12], a[q : q + 12 + n]) for p in range(len(b) - 11) for q in range(len(a) - 11 + n))
+        assert e <= n and any(x <= e for x in windows)
+
+
 def test_rates_are_inverted():
     for mean, cap in ((0.3, 1), (0.99, 1), (1.7, 2), (3.9, 4), (2.0, 50)):
         below = X.capped_rate(mean, cap)
