@@ -6,14 +6,17 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Durable
 
-#: Most sources a table of targets may have; their plan is held by the driver and broadcast.
-MOST_TARGETS = 10_000
+#: Sources up to which their plan is broadcast; plans of more are joined by shuffle.
+MOST_TARGETS = 1_000
+PLAN = "_source string, weight double, max_repeat int, tokens bigint, docs bigint, rate double, first bigint, below array<double>"
 
 
 def source_name(column: str) -> Column:
@@ -56,38 +59,50 @@ def token_counts(documents: DataFrame, id: str, text: str, path: str, pattern: s
     return df.mapInArrow(count, T.StructType([*df.schema.fields[:-1], T.StructField("n_tokens", T.LongType())]))
 
 
-def capped_rate(mean: float, cap: int) -> list[float]:
-    """P(count <= k) for k below the cap, of a Poisson count cut off at ``cap`` whose mean is ``mean``.
-
-    A mean at the cap or above gives the cap always (all probabilities 0).
+def capped_counts(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(first, below): P(count <= first + k) for each k of ``below``, of a Poisson count cut off at ``cap`` whose mean is
+    ``mean``. Counts below ``first`` have no chance that a double could tell, and those beyond ``below`` neither, so the
+    list grows as the square root of the cap. A mean at the cap or above gives the cap always; one of 0 or a cap below 1
+    gives 0 always.
     """
     if cap < 1 or mean <= 0:
-        return [1.0] * max(1, cap)
+        return 0, [1.0]
     if mean >= cap:
-        return [0.0] * cap
+        return cap, []
+
+    def below(rate: float) -> tuple[int, np.ndarray]:
+        wide = 10 * math.sqrt(rate) + 40
+        low, high = max(0, int(rate - wide)), min(cap, int(rate + wide) + 1)
+        k = np.arange(low, max(low, high))
+        p = np.exp(k * math.log(rate) - rate - _log_factorial(k))
+        return min(low, cap), np.minimum(1.0, np.cumsum(p))
 
-    def below(rate: float) -> list[float]:
-        p, total, out = math.exp(-rate), 0.0, []
-        for k in range(cap):
-            total += p
-            out.append(total)
-            p *= rate / (k + 1)
-        return out
+    def reached(rate: float) -> float:
+        low, c = below(rate)
+        return low + float((1 - c).sum())
 
     low, high = 0.0, 1.0
-    while sum(1 - c for c in below(high)) < mean and high < 700:
+    while reached(high) < mean:
         high *= 2
-    for _ in range(80):
+    for _ in range(100):
         rate = (low + high) / 2
-        low, high = (rate, high) if sum(1 - c for c in below(rate)) < mean else (low, rate)
-    return below((low + high) / 2)
+        low, high = (rate, high) if reached(rate) < mean else (low, rate)
+    first, c = below((low + high) / 2)
+    return first, c.tolist()
+
+
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """Logarithms of the factorials of consecutive numbers."""
+    if not len(k):
+        return np.zeros(0)
+    return math.lgamma(k[0] + 1) + np.append(0.0, np.cumsum(np.log(k[1:].astype(np.float64))))
 
 
 class Mixture:
     """The plan of a mixture and what comes of it.
 
     ``targets`` has source, weight, max_repeat; its weights are taken relative to the sum over those sources that
-    documents have. Without ``total`` the mixture gets the most tokens that all weights can be reached with, so the
+    documents have. Rates are worked out in a table, so there may be any number of sources. Without ``total`` the mixture gets the most tokens that all weights can be reached with, so the
     scarcest source uses each document max_repeat times. Documents without a target source, with null source, or
     without tokens take no part; targets that are null, not positive or repeated (after the first by name) take no part.
     """
@@ -102,22 +117,27 @@ class Mixture:
         wanted = targets.select(source_name("source").alias("_source"), F.col("weight").cast("double").alias("weight"), F.col("max_repeat").cast("int").alias("max_repeat"))
         wanted = wanted.where("weight > 0 and max_repeat > 0 and _source is not null").groupBy("_source").agg(F.max(F.struct("weight", "max_repeat")).alias("t")).select("_source", "t.*")
         sums = self.sizes.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") > 0).alias("docs"))
-        rows = wanted.join(sums, "_source", "left").limit(MOST_TARGETS + 1).collect()
-        if len(rows) > MOST_TARGETS:
-            raise ValueError(f"more than {MOST_TARGETS} targets")
-        present = [r for r in rows if r.tokens]
-        weights = sum(r.weight for r in present)
-        if total is None:
-            total = min((r.max_repeat * r.tokens / (r.weight / weights) for r in present), default=0)
+        joined, _ = Durable(spark, "mixing").keep(wanted.join(sums, "_source", "left").fillna(0, ["tokens", "docs"]))
+        present = joined.where("tokens > 0").agg(F.count("*").alias("n"), F.sum("weight").alias("weights"), F.min(F.col("max_repeat") * F.col("tokens") / F.col("weight")).alias("least")).first()
+        if total is None:  # the scarcest source is used up
+            total = present.least * present.weights if present.n else 0
         self.total = total
-        plan = [(r._source, r.weight, r.max_repeat, r.tokens or 0, r.docs or 0, r.weight / weights * total / r.tokens if r.tokens else 0.0) for r in rows]
-        self.plan = [(*p, [min(1.0, max(0.0, c)) for c in capped_rate(p[5], p[2])]) for p in plan]
-        self.rates = spark.createDataFrame(self.plan, "_source string, weight double, max_repeat int, tokens bigint, docs bigint, rate double, below array<double>")
+        mean = F.when(F.col("tokens") > 0, F.col("weight") / F.lit(present.weights or 1.0) * F.lit(float(total)) / F.col("tokens")).otherwise(0.0)
+
+        def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+            counts = [capped_counts(r, c) for r, c in zip(pdf["rate"], pdf["max_repeat"], strict=True)]
+            return pdf.assign(first=[f for f, _ in counts], below=[b for _, b in counts])
+
+        planned = joined.withColumn("rate", mean).select("_source", "weight", "max_repeat", "tokens", "docs", "rate")
+        self.rates, _ = Durable(spark, "mixing").keep(planned.mapInPandas(lambda batches: map(plan, batches), PLAN))
+        drawn = self.rates.select("_source", "first", "below")
+        self.drawn = F.broadcast(drawn) if joined.count() <= MOST_TARGETS and (self.rates.agg(F.sum(F.size("below"))).first()[0] or 0) <= 1_000_000 else drawn
 
     def _times(self, key: Column) -> Column:
-        """How often a row is used, given its source's ``below``. It depends on the row's id, the seed and the rate only."""
+        """How often a row is used, given its source's ``first`` and ``below``. It depends on the row's id, the seed and the
+        rate only."""
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), key), 11).cast("double") + 0.5) / float(1 << 53)
-        return F.size(F.filter("below", lambda c: c < u))
+        return (F.col("first") + F.size(F.filter("below", lambda c: c < u))).cast("int")
 
     def documents_mixed(self) -> DataFrame:
         """All columns of the documents, with copy (from 1 on) and place, a random number that gives the order; rows
@@ -125,18 +145,17 @@ class Mixture:
         named copy or place are replaced."""
         kept = [c for c in self.documents.columns if c not in ("copy", "place")]
         rows = self.documents.where(F.length(self.text) > 0).select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(self.id).alias("key"), source_name(self.source).alias("_source"))
-        rates = F.broadcast(self.rates.select("_source", "below"))  # at most MOST_TARGETS rows
-        used = rows.join(rates, "_source").select("row", "key", self._times(F.col("key")).alias("times")).where("times > 0")
+        used = rows.join(self.drawn, "_source").select("row", "key", self._times(F.col("key")).alias("times")).where("times > 0")
         copies = used.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
         placed = copies.withColumn("place", F.xxhash64(F.lit(self.seed + 1), "key", "copy"))
-        n = int(self.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return placed.repartition(n, "place").sortWithinPartitions("place").select(*[F.col("row").getField(c).alias(c) for c in kept], "copy", "place")
+        # adaptive execution settles how many partitions the size of the mixture asks for
+        return placed.hint("rebalance", "place").sortWithinPartitions("place").select(*[F.col("row").getField(c).alias(c) for c in kept], "copy", "place")
 
     def shares(self) -> DataFrame:
         """(source, target_share, max_repeat, tokens, docs, rate, tokens_used, docs_used, copies, actual_share): of
         each target; target_share is the given weight, actual_share the share of all tokens of the mixture."""
-        drawn = self.sizes.join(F.broadcast(self.rates.select("_source", "below")), "_source").select("_source", "n_tokens", self._times(F.col("key")).alias("_times"))
+        drawn = self.sizes.join(self.drawn, "_source").select("_source", "n_tokens", self._times(F.col("key")).alias("_times"))
         used = drawn.where("_times > 0 and n_tokens > 0").groupBy("_source").agg(F.sum(F.col("n_tokens") * F.col("_times")).alias("tokens_used"), F.count("*").alias("docs_used"), F.sum("_times").alias("copies"))
-        both = self.rates.drop("below").join(used, "_source", "left").fillna(0, ["tokens_used", "docs_used", "copies"])
+        both = self.rates.drop("first", "below").join(used, "_source", "left").fillna(0, ["tokens_used", "docs_used", "copies"])
         whole = F.sum("tokens_used").over(Window.partitionBy(F.lit(0)))  # over one row a target
         return both.withColumn("_all", whole).select(F.col("_source").alias("source"), F.col("weight").alias("target_share"), "max_repeat", "tokens", "docs", "rate", "tokens_used", "docs_used", "copies", F.when(F.col("_all") > 0, F.col("tokens_used") / F.col("_all")).alias("actual_share"))

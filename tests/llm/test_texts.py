@@ -130,11 +130,36 @@ def test_edited_passages_in_documents_are_found(spark, n):
         assert e <= n and any(x <= e for x in windows)
 
 
-def test_rates_are_inverted():
-    for mean, cap in ((0.3, 1), (0.99, 1), (1.7, 2), (3.9, 4), (2.0, 50)):
-        below = X.capped_rate(mean, cap)
-        assert len(below) == cap and abs(sum(1 - c for c in below) - mean) < 1e-6
-    assert X.capped_rate(4, 4) == [0.0] * 4 and X.capped_rate(0, 3) == [1.0] * 3
+@pytest.mark.parametrize("mean,cap", [(0.3, 1), (0.99, 1), (1.7, 2), (3.9, 4), (2.0, 50), (640.0, 1000), (740.0, 1000), (900.0, 1000), (999.5, 1000), (740.0, 2000), (1500.0, 2000), (3e6, 4_000_000)])
+def test_rates_are_inverted(mean, cap):
+    first, below = X.capped_counts(mean, cap)
+    assert abs(first + sum(1 - c for c in below) - mean) < 1e-6 * mean and first + len(below) <= cap
+    assert len(below) < 40 * cap**0.5 + 100 and all(x <= y for x, y in zip(below, below[1:]))
+
+
+def test_rates_at_the_ends():
+    assert X.capped_counts(4, 4) == (4, []) and X.capped_counts(9, 4) == (4, [])
+    assert X.capped_counts(0, 3) == (0, [1.0]) and X.capped_counts(2, 0) == (0, [1.0])
+
+
+def test_shares_are_those_of_the_documents_drawn(spark, monkeypatch):
+    import public_tokenizers as P
+
+    r = random.Random(2)
+    docs = [(i, "some words " * r.randrange(1, 9), f"s{i % 7}") for i in range(400)] + [(1000, None, "s1"), (1001, "", "s2")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([(f"s{i}", 1.0 + i, 900 if i == 3 else 2) for i in range(7)], "source string, weight double, max_repeat int")
+    shares = {}
+    for most in (1000, 2):  # a plan that is broadcast and one that is not
+        monkeypatch.setattr(X, "MOST_TARGETS", most)
+        m = X.Mixture(d, t)
+        drawn = X.token_counts(m.documents_mixed().withColumnRenamed("copy", "nth"), "doc_id", "text", X.vocabulary_path(), P.PATTERN, "source", "nth")
+        want = {x.source: (x.n, x.docs, x.copies) for x in drawn.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.countDistinct("doc_id").alias("docs"), F.count("*").alias("copies")).collect()}
+        got = {x.source: x for x in m.shares().collect()}
+        assert {s: (x.tokens_used, x.docs_used, x.copies) for s, x in got.items()} == want
+        assert abs(sum(x.actual_share for x in got.values()) - 1) < 1e-9
+        shares[most] = want
+    assert shares[1000] == shares[2]
 
 
 def test_mixture_reaches_its_shares(spark):
