@@ -37,8 +37,11 @@ _NUMBER = re.compile(r"(?<![\w.\\])(?:\+?\d{8,15}(?!\w)(?![.\-/]\d)|(?:\+?\(?\d+
 _CODE = re.compile(r"(?<![\w.\-])[A-Z]{1,4}-?\d{5,}(?:[/\-]\d+)*(?![\w])")
 _BIBLIO = re.compile(r"\((?:1[89]|20)\d\d\)")
 
-_CAP = r"(?:[A-ZÀ-ÖØ-Þ]|\\['`\"^~]\{?[A-Z]\}?|\{\\(?:O|AE|AA|L)\})"
-_LOW = r"(?:[A-Za-zß-öø-ÿÀ-ÖØ-Þ\u0100-\u017f]|\\['`\"^~=.](?:\{[A-Za-z]\}|[A-Za-z])|\{\\['`\"^~=.]\{?[A-Za-z]\}?\}|\{\\(?:o|ss|ae|aa|oe|l|O|AE|AA)\}|\\(?:o|ss|ae|aa|oe|l)\{\}|\\c\{[A-Za-z]\}|'(?=[A-Z]))"
+# Letters of the alphabets with capitals, from the tables of characters.
+_ALPHABETS = [chr(c) for c in (*range(0x00C0, 0x0250), *range(0x0370, 0x0530), *range(0x1E00, 0x1F00))]
+_UPPER, _LOWER = ("".join(c for c in _ALPHABETS if test(c)) for test in (str.isupper, str.islower))
+_CAP = r"(?:[A-Z" + _UPPER + r"]|\\['`\"^~.=]\{?[A-Z]\}?|\\[cvuHkrd]\{[A-Z]\}|\{?\\(?:OE|AE|AA|O|L)(?![A-Za-z])(?:\}|\{\})?)"
+_LOW = r"(?:[A-Za-z" + _UPPER + _LOWER + r"]|\\['`\"^~=.](?:\{[A-Za-z]\}|[A-Za-z])|\{\\['`\"^~=.]\{?[A-Za-z]\}?\}|\{\\(?:o|ss|ae|aa|oe|l|O|AE|AA)\}|\\(?:o|ss|ae|aa|oe|l)\{\}|\\[cvuHkrd]\{[A-Za-z]\}|'(?=[A-Z" + _UPPER + r"]))"
 _CAPITAL = _CAP + _LOW + "+"
 _STREET = (
     r"(?:street|st\.|road|rd\.|avenue|ave\.|lane|ln\.|drive|dr\.|boulevard|blvd\.|square|sq\.|terrace|crescent|close|court|place|way|row|hill|gardens|parade|walk)"
@@ -57,21 +60,59 @@ _BEFORE = re.compile(
 )
 _INITIAL = rf"{_CAP}\."
 _HYPHENED = rf"{_CAPITAL}(?:-{_CAPITAL})*"
-_RUN = re.compile(rf"(?<![A-Za-z\\]){_HYPHENED}(?:(?:,?{_GAP})(?:{_INITIAL}{_GAP}?)*{_HYPHENED})+(?:{_GAP}{_INITIAL})?")
-_TOKEN = re.compile(rf"(?P<initial>{_INITIAL})|(?P<word>{_HYPHENED})|(?P<comma>,)")
+# Words in lower case that stand within names, before the family name they belong to.
+PARTICLES = ["van der", "van den", "van de", "van", "von der", "von den", "von", "de la", "de los", "de", "del", "della", "di", "da", "dos", "ter", "af", "av", "bin", "ibn", "al", "el"]
+_PARTICLES = rf"(?:{'|'.join(x.replace(' ', _GAP) for x in PARTICLES)}){_GAP}"
+_RUN = re.compile(rf"(?<![A-Za-z\\]){_HYPHENED}(?:(?:,?{_GAP})(?:{_INITIAL}{_GAP}?)*(?:{_PARTICLES})?{_HYPHENED})+(?:{_GAP}{_INITIAL})?")
+_PARTICLE = re.compile("^" + _PARTICLES)
+_TOKEN = re.compile(rf"(?P<initial>{_INITIAL})|(?P<word>(?:{_PARTICLES})?{_HYPHENED})|(?P<comma>,)")
 _MARKUP = re.compile(r"\\[A-Za-z]+|[\\{}'`\"^~=.]")
 
 
+# Letters that don't come apart into a letter and a mark.
+_PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ı": "i"})
+
+
 def bare(word: str) -> str:
     """A word in lower case, without markup and accents."""
     if "\\" in word or "{" in word:
-        word = re.sub(r"\\(o|O|ss|ae|AE|aa|AA|oe|l|L)(?![A-Za-z])", r"\1", word)
-        word = re.sub(r"[\\{}'`\"^~=.]", "", re.sub(r"\\c(?=\{)", "", word))
+        word = re.sub(r"\\(o|O|ss|ae|AE|aa|AA|oe|OE|l|L)(?![A-Za-z])", r"\1", word)
+        word = re.sub(r"[\\{}'`\"^~=.]", "", re.sub(r"\\[cvuHkrd](?=\{)", "", word))
     if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word.replace("ø", "o").replace("Ø", "O").replace("ß", "ss")) if not unicodedata.combining(c))
+        word = "".join(c for c in unicodedata.normalize("NFKD", word.translate(_PLAIN)) if not unicodedata.combining(c))
     return word.lower()
 
 
+_NOT_LOCAL = re.compile(r"[^\w.+\-\\{}]")
+
+
+def _back(text: str, end: int) -> int:
+    """Where the characters before ``end`` begin that may belong to the local part of an address."""
+    at, step = end, 64
+    while at > 0:
+        low = max(0, at - step)
+        last = None
+        for last in _NOT_LOCAL.finditer(text, low, at):
+            pass
+        if last is not None:
+            return last.end()
+        at, step = low, step * 2
+    return 0
+
+
+def _words_back(text: str, end: int, n: int = 9) -> int:
+    """Where the n words before ``end`` begin, however long they are."""
+    at = end
+    for _ in range(n):
+        while at > 0 and text[at - 1] in " \t\r\n~%,":
+            at -= 1
+        while at > 0 and text[at - 1] not in " \t\n~":
+            at -= 1
+        if at == 0:
+            return 0
+    return at
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
     """(start, end, form, key, part) in order: form is email, number, code, address or word; key is what equal tokens
     share; part numbers the run of capitalised words a word stands in, -1 otherwise. They do not overlap: an e-mail
@@ -88,7 +129,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
 
     for m in _AT.finditer(text):
         domain = _DOMAIN.match(text, m.end())
-        local = domain and _LOCAL.search(text, max(0, m.start() - 80), m.start())
+        local = domain and _LOCAL.search(text, _back(text, m.start()), m.start())
         if local and free(local.start(), domain.end()):
             span = local.start(), domain.end()
             take(*span)
@@ -98,7 +139,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
         if after:
             span = m.start(), after.end()
         else:
-            before = _BEFORE.search(text, max(0, m.start() - 60), m.start())
+            before = _BEFORE.search(text, _words_back(text, m.start()), m.start())
             if not before:
                 continue
             span = before.start(), m.end()
@@ -132,6 +173,6 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
             if not clear and not free(*t.span()):
                 part += 1  # what stands on either side of another candidate is apart
             elif t.lastgroup == "word":
-                found.append((*t.span(), "word", bare(t.group()), part))
+                found.append((*t.span(), "word", bare(_PARTICLE.sub("", t.group())), part))
     found.sort()
     return found

@@ -25,9 +25,12 @@ from .persons import GIVEN, KINDS, candidates
 ALLOWED = {"email": (1,), "number": (2, 3), "code": (3,), "address": (4,), "word": (5,)}
 #: Edges: words of one run, neighbours in the text, equal tokens, a name and an address made of it.
 RUN, NEXT, SAME, MADE = range(4)
-ROUNDS = 5
+#: Messages are passed until none changes by more than this; where they don't settle, they are damped after so many rounds
+#: and stopped after ten times as many.
+SETTLED, ROUNDS = 1e-3, 50
 NEAR = 60
-AROUND = 8
+#: Letters of a name that an address is looked up by; longer names go by their first ones.
+LONGEST = 24
 
 _WORDS = re.compile(r"\\?[^\W\d_]+|\d+|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
@@ -93,7 +96,12 @@ def edges(found: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int, i
     such an address among the nearest ones, so the number of edges grows as the number of candidates."""
     out: list[tuple[int, int, int]] = []
     last: dict[tuple[str, str], int] = {}
-    mails = [(i, re.split(r"@|\W+at\W+", c[3])[0]) for i, c in enumerate(found) if c[2] == "email"]
+    parts: dict[str, list[int]] = {}  # addresses by what stands in their local part, in order
+    for i, c in enumerate(found):
+        if c[2] == "email":
+            local_part = re.split(r"@|\W+at\W+", c[3])[0]
+            for x in {local_part[a:b] for a in range(len(local_part)) for b in range(a + 4, min(len(local_part), a + LONGEST) + 1)}:
+                parts.setdefault(x, []).append(i)
     for i, c in enumerate(found):
         if i and c[0] - found[i - 1][1] <= NEAR:
             out.append((i - 1, i, RUN if c[4] >= 0 and c[4] == found[i - 1][4] else NEXT))
@@ -101,11 +109,11 @@ def edges(found: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int, i
         if at is not None and at != i - 1:
             out.append((at, i, SAME))
         last[c[2], c[3]] = i
-        if c[2] == "word" and len(c[3]) > 3 and mails:
-            m = bisect(mails, (i,))
-            stem = c[3].split("-")[0]
-            near = sorted((x for x in mails[max(0, m - AROUND) : m + AROUND] if stem in x[1]), key=lambda x: abs(x[0] - i))[:2]
-            out += [(min(i, x), max(i, x), MADE) for x, _ in near]
+        if parts and c[2] == "word" and len(c[3]) > 3:
+            mails = parts.get(c[3].split("-")[0][:LONGEST], ())
+            m = bisect(mails, i)
+            near = sorted(mails[max(0, m - 2) : m + 2], key=lambda x: abs(x - i))[:2]
+            out += [(min(i, x), max(i, x), MADE) for x in near]
     return out
 
 
@@ -151,26 +159,34 @@ def local(own: np.ndarray, rows, mask: np.ndarray) -> np.ndarray:
 
 
 def propagate(potential: np.ndarray, links: np.ndarray, pairs: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy belief propagation (sum-product, in logarithms) on a graph of all documents at once."""
+    """Loopy belief propagation (sum-product, in logarithms) on a graph of all documents at once, until messages settle;
+    those that have are not computed again unless what they depend on changes. On a tree the result is exact."""
     n, kinds = potential.shape
     if not n:
         return potential
     a, b, t = links.T if len(links) else np.zeros((3, 0), np.int64)
     source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    tables = np.concatenate([pairs[t], pairs[t].transpose(0, 2, 1)]) if len(a) else np.zeros((0, kinds, kinds))
+    tables = np.exp(np.concatenate([pairs[t], pairs[t].transpose(0, 2, 1)])) if len(a) else np.zeros((0, kinds, kinds))
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     message = np.zeros((len(source), kinds))
-    for _ in range(rounds if len(source) else 0):
-        belief = potential.copy()
-        for k in range(kinds):
-            belief[:, k] += np.bincount(target, message[:, k], minlength=n)
-        sent = belief[source] - message[back]
-        sent -= sent.max(1, keepdims=True)
-        message = np.log(np.einsum("ek,ekl->el", np.exp(sent), np.exp(tables)) + 1e-300)
-        message -= message.max(1, keepdims=True)
     belief = potential.copy()
-    for k in range(kinds):
-        belief[:, k] += np.bincount(target, message[:, k], minlength=n)
+    active = np.arange(len(source))
+    for r in range(10 * rounds):
+        if not len(active):
+            break
+        sent = belief[source[active]] - message[back[active]]
+        sent -= sent.max(1, keepdims=True)
+        new = np.log(np.einsum("ek,ekl->el", np.exp(sent), tables[active]) + 1e-300)
+        new -= new.max(1, keepdims=True)
+        if r >= rounds:
+            new = (new + message[active]) / 2
+        change = new - message[active]
+        message[active] = new
+        for k in range(kinds):
+            belief[:, k] += np.bincount(target[active], change[:, k], minlength=n)
+        moved = np.zeros(n, bool)
+        moved[target[active[np.abs(change).max(1) > SETTLED]]] = True
+        active = np.flatnonzero(moved[source])
     belief -= belief.max(1, keepdims=True)
     e = np.exp(belief)
     return e / e.sum(1, keepdims=True)

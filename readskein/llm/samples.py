@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from .persons import GIVEN
+from .persons import GIVEN, PARTICLES
 
 # What a sample is made of. Braces with a kind in capitals stand for an item of that kind; G, S, T, W for
 # a given name, a family name, a title-case word and a lower-case word that are no item; D for a date-like number.
@@ -37,8 +37,10 @@ LINES = [
     "LET THE {W} BE {W} AND SUPPOSE THAT {W} {W}. FOR EACH {W} WE RECORD {W} {W}, AND {W} IT WITH {W} {W} PERCENT OF.", "{W} IN {W} TO THE {W} {W}, {W} {W} NOT BOTH {W} {W} ON THE {W}.",
     "Our {T} {T} Slowly {T} The {T} {T}.", "A {T} {T} Was {T} From {T} {T} And {T} Until The {T}.", "{T} {T} Of {T} {T}, Whose {T} {W} {T} Of {T} Order.", "It {W} That {T} {T} And {T} {W} {W} {T} {T} In {T}.",
     "%this passage is by {NAME}", "% moved here by {NAME}", "%% text of {NAME}", "{T} {W} to the {W}, we {W} it.", "{T} the {W} for {W} {W} gives it.", "{T} each {W} we {W} the {W}.", "{T} {W} against {W} it {W}.",
+    "{V} {NAME} about the {W}.", "{V} {NAME}, {PHONE}.", "{V} {NAME} and {NAME} we {W} it.", "{V} {T} von {T} ist {W}.", "Das {T} von {T} und das {T} der {T} von der {T}.", "La {T} de {T} y el {T} del {T} de la {T}.", "Le {T} de {T} est {W}.", "The {T} da {T} Basin and {T} di {T}.",
     "{T} University and the {T} Institute of {T} Research hosted us.", "A model called {G} was used with {S} Networks.", "The {T} Issue {X} and Second {T} {X} list them.", "Contact {NAME} at \\url{{EMAIL}}.",
 ]
+VERBS = "Contact Ask Call Meet Write With By From For Since When Also Then Now Here After Before While Yesterday Dear Mr. Mrs. Professor Director".split()
 ID_WORDS = ["SSN:", "SSN", "social security number", "Social Security no.", "tax id", "tax number", "TIN", "passport no.\\", "passport", "passport number", "national identity no.", "national id", "identity card", "staff number", "staff no.", "employee id", "personnel number", "Researcher id", "researcher ID", "ORCID", "student number"]
 _SYLLABLES = "ba be bo da de du fa fo ga ge ha ho ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve vi wa we wi ya za ze bren lar mor quen stav tar kel nor hal grim".split()
 _ENDS = "berg son sen mann ini elli ski ov ez ato ard ier eau ton ley worth stein ko ic as is quist holm dal man dottir".split()
@@ -52,7 +54,8 @@ def _word(r: random.Random, n: int = 2) -> str:
 
 def _family(r: random.Random) -> str:
     one = lambda: (_word(r, r.choice((1, 2))) + r.choice(_ENDS)).capitalize()
-    return one() + ("-" + one() if r.random() < 0.08 else "")
+    particle = r.choice(PARTICLES) + " " if r.random() < 0.05 else ""
+    return particle + one() + ("-" + one() if r.random() < 0.08 else "")
 
 
 def _given(r: random.Random) -> str:
@@ -118,7 +121,7 @@ def sample(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         named = None
         line = r.choice(LINES)
         caps = line.upper() == line
-        for piece in re.split(r"(\{(?:NAME|EMAIL|PHONE|ID|IDWORD|ADDRESS|GRANT|ACCESSION|LOT|ISSN|TABLE|[GSTWXN])\})", line):
+        for piece in re.split(r"(\{(?:NAME|EMAIL|PHONE|ID|IDWORD|ADDRESS|GRANT|ACCESSION|LOT|ISSN|TABLE|[GSTWXNV])\})", line):
             kind = piece[1:-1] if re.fullmatch(r"\{[A-Z]+\}", piece) else None
             if kind in ("NAME", "EMAIL", "PHONE", "ID", "ADDRESS"):
                 if kind == "NAME":
@@ -137,7 +140,7 @@ def sample(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
                 other = {"IDWORD": lambda: r.choice(ID_WORDS), "GRANT": lambda: _digits(r, r.choice(["9999-99-9999", "99-999-9999", "AB-9999999"])), "ACCESSION": lambda: _digits(r, r.choice(["XQ9999999", "AB999999"])),
                      "LOT": lambda: _digits(r, r.choice(["999-9999", "99-99999"])), "ISSN": lambda: _digits(r, "9999-9999"), "TABLE": lambda: _digits(r, r.choice(["9-99-9999", "999-99", "9-9999999"])),
                      "G": lambda: _given(r), "S": lambda: _family(r), "T": lambda: _word(r).capitalize() if r.random() < 0.7 else r.choice(["Spring", "Jubilee", "Summer", "Winter", "Annual", "Special", "Appendix", "Volume", "Part", "North"]),
-                     "W": lambda: _word(r), "X": lambda: r.choice("ABC"), "N": lambda: str(r.randrange(2, 900))}[kind]()
+                     "W": lambda: _word(r), "X": lambda: r.choice("ABC"), "V": lambda: r.choice(VERBS), "N": lambda: str(r.randrange(2, 900))}[kind]()
                 put(other.upper() if caps else other)
             else:
                 put(piece)

@@ -248,3 +248,53 @@ def test_very_long_texts(text):
     V._scan(V.trained(), [text])
     assert len(found) <= len(text)
     assert words(text) is not None
+
+
+#: Frames, names and numbers that no training line has, written for this test; {} stands for an item.
+UNSEEN = [
+    ("The committee chaired by {} met in June.", "name", "Škarda Šimková"), ("Our host was {}; the talk lasted an hour.", "name", "Łukasz Żeromski"), ("Photographs: {} (private collection).", "name", "Ivan Čapek"),
+    ("A letter from {} arrived later.", "name", "Ludwig van Beethoven"), ("{} painted the original.", "name", "Vincent van der Berg"), ("Contact {} for access.", "name", "Mario Rossi"), ("Dear {}, the proofs are ready.", "name", "Hanna Lindqvist"),
+    ("The speaker, {}, was late.", "name", "Peter Okafor"), ("Translated by {} in spring.", "name", "Maria Papadopoulou"), ("Editors: {} and others.", "name", "Thomas Brennan"), ("It was {} who first saw this.", "name", "Elena Dragomirova"),
+    ("Mail the form to {} today.", "email", "office.desk@archive.example"), ("({})", "email", "k_lund@uni.test"), ("Reach us: {}!", "email", "team-7 [at] lab [dot] example"), ("Ring the desk, {}, after noon.", "phone", "+44 20 7946 0958"),
+    ("The hotline is {}.", "phone", "(555) 201-3344"), ("Her passport number {} had expired.", "id_number", "K8812345"), ("His SSN is {} on file.", "id_number", "219-09-9999"), ("The shop at {} closed.", "address", "221 Harbour Street"), ("They moved to {} last May.", "address", "14 Rosewood Lane"),
+    ("The Fourier Transform and the Navier Stokes Equations are used.", None, None), ("Data from the Sloan Digital Survey and the Hubble Archive.", None, None), ("See Table 4 on pages 1203-1219 of volume 88.", None, None), ("Der Mittelwert von Messung und Modell bleibt gleich.", None, None),
+    ("The Boltzmann Constant was held fixed in Section Two.", None, None), ("New York and Buenos Aires hosted it.", None, None), ("Grant no. 55-812-9034 paid for this.", None, None), ("La Universidad de Granada y el Banco de Datos.", None, None),
+]
+
+
+def unseen_figures():
+    """(right, found, known) over the texts above."""
+    texts = [frame.format(value) if kind else frame for frame, kind, value in UNSEEN]
+    want = [{(kind, value)} if kind else set() for _, kind, value in UNSEEN]
+    got = [{(k, t[a:b]) for a, b, k in s} for t, s in zip(texts, V._scan(V.trained(), texts), strict=True)]
+    return sum(len(w & g) for w, g in zip(want, got, strict=True)), sum(map(len, got)), sum(map(len, want)), [(w, g) for w, g in zip(want, got, strict=True) if w != g]
+
+
+def test_texts_unlike_the_training_lines():
+    right, found, known, _ = unseen_figures()
+    assert right / found >= 0.75 and right / known >= 0.75
+
+
+def test_names_with_any_capitals_and_particles_are_candidates():
+    for name in ("Škarda Šimková", "Łukasz Żeromski", "Ivan Čapek", "Ludwig van Beethoven", "Vincent van der Berg", "Ζωή Παππά", "Иван Петров", r"\v{S}imon \v{C}apek", r"{\L}ukasz Nowak"):
+        found = candidates(f"we met {name} there")
+        assert [c[2] for c in found] == ["word", "word"] and (found[0][0], found[-1][1]) == (7, 7 + len(name)), name
+    assert not candidates("we saw von der Leyen there")
+
+
+def test_long_chains_and_many_addresses_agree():
+    # the first mention is clear, and equal tokens in a chain of any length take it on
+    pairs = np.zeros((4, 6, 6))
+    pairs[V.SAME, 5, 5] = pairs[V.SAME, 0, 0] = 6.0
+    potential = np.zeros((60, 6))
+    potential[:, 1:5] = -1e9
+    potential[0, 5] = 8.0
+    p = V.propagate(potential, np.array([[i, i + 1, V.SAME] for i in range(59)]), pairs)
+    assert (p[:, 5] > 0.5).all()
+    mails = " ".join(f"user{k:02d}.x@uni.example" for k in range(30))
+    text = "Anna Marlowe and Ben Carver wrote. " + mails + " marlowe@uni.example carver@uni.example"
+    found = candidates(text)
+    made = [(found[a][3], found[b][3]) for a, b, t in V.edges(found) if t == V.MADE]
+    assert ("marlowe", "marlowe@uni.example") in made and ("carver", "carver@uni.example") in made
+    long = "a" * 300 + "@uni.example"
+    assert [c[:3] for c in candidates(f"write to {long}")] == [(9, 9 + len(long), "email")]
