@@ -63,7 +63,7 @@ _HYPHENED = rf"{_CAPITAL}(?:-{_CAPITAL})*"
 # Words in lower case that stand within names, before the family name they belong to.
 PARTICLES = ["van der", "van den", "van de", "van", "von der", "von den", "von", "de la", "de los", "de", "del", "della", "di", "da", "dos", "ter", "af", "av", "bin", "ibn", "al", "el"]
 _PARTICLES = rf"(?:{'|'.join(x.replace(' ', _GAP) for x in PARTICLES)}){_GAP}"
-_RUN = re.compile(rf"(?<![A-Za-z\\]){_HYPHENED}(?:(?:,?{_GAP})(?:{_INITIAL}{_GAP}?)*(?:{_PARTICLES})?{_HYPHENED})+(?:{_GAP}{_INITIAL})?")
+_RUN = re.compile(rf"(?=[A-Z\\{{{_UPPER}])(?<![A-Za-z\\]){_HYPHENED}(?:(?:,?{_GAP})(?:{_INITIAL}{_GAP}?)*(?:{_PARTICLES})?{_HYPHENED})+(?:{_GAP}{_INITIAL})?")
 _PARTICLE = re.compile("^" + _PARTICLES)
 _TOKEN = re.compile(rf"(?P<initial>{_INITIAL})|(?P<word>(?:{_PARTICLES})?{_HYPHENED})|(?P<comma>,)")
 _MARKUP = re.compile(r"\\[A-Za-z]+|[\\{}'`\"^~=.]")
@@ -100,6 +100,20 @@ def _back(text: str, end: int) -> int:
     return 0
 
 
+_ENDS = re.compile(rf"(?i:{_SUFFIX})\Z")
+
+
+def _street_may_end(text: str, end: int) -> bool:
+    """Whether the word before a number begins with a capital or ends as streets do; most don't, which is soon told."""
+    b = end
+    while b > 0 and text[b - 1] in " \t\r\n~%,":
+        b -= 1
+    a = b
+    while a > 0 and text[a - 1] not in " \t\n~":
+        a -= 1
+    return a < b < end and (text[a].isupper() or not text[a].isalnum() or _ENDS.search(text, a, b) is not None)
+
+
 def _words_back(text: str, end: int, n: int = 9) -> int:
     """Where the n words before ``end`` begin, however long they are."""
     at = end
@@ -139,7 +153,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, int]]:
         if after:
             span = m.start(), after.end()
         else:
-            before = _BEFORE.search(text, _words_back(text, m.start()), m.start())
+            before = _street_may_end(text, m.start()) and _BEFORE.search(text, _words_back(text, m.start()), m.start())
             if not before:
                 continue
             span = before.start(), m.end()
