@@ -5,6 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 
+@dataclass(frozen=True)
+class EditCosts:
+    """Costs of local alignment: a negative match is good."""
+
+    table: tuple[tuple[int, ...], ...] = tuple(tuple(-1 if a == b else 2 for b in range(4)) for a in range(4))
+    open: int = 1
+    extend: int = 1
+
+
 @dataclass(frozen=True)
 class ClusterConfig:
     """Parameters of candidate search, filters and distance. Lengths count bases."""
@@ -21,6 +30,7 @@ class ClusterConfig:
     min_len: int = 40
     rc_check: bool = True
     distance: str = "d2"
+    costs: EditCosts | None = None  # of the edit distance; None: its own
     max_word_freq: int | None = None  # words in more reads don't nominate candidates; None: all do
 
     def but(self, **changes) -> ClusterConfig:

@@ -9,7 +9,7 @@ from ..config import ClusterConfig
 from ..session import Durable
 from .components import apart_labels, min_labels
 from .distance import matching, scored_pairs
-from .pairs import candidates, sample_hits
+from .pairs import candidates, in_blocks, sample_hits
 
 
 def match_edges(reads: DataFrame, config: ClusterConfig, mode: str = "candidates", left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
@@ -134,6 +134,28 @@ def adjacency(reads: DataFrame, edges: DataFrame, symmetric: bool = True) -> Dat
     return reads.select("seq_id").distinct().join(lists, "seq_id", "left").select("seq_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
+def linked_reads(reads: DataFrame, config: ClusterConfig, mode: str = "candidates", symmetric: bool = True) -> DataFrame:
+    """``adjacency`` from a search of its own."""
+    return adjacency(reads, match_edges(reads, config, mode), symmetric)
+
+
+def compared_clusters(reads: DataFrame, first: DataFrame, second: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
+    """(i, j, d2, d2_rc): the distances on both strands of each read of one list (seq_id) and each of another. A read in
+    both lists is left out with itself; unknown reads have no row. The lists meet in blocks."""
+    config = (config or ClusterConfig()).but(distance="d2", rc_check=True)
+    both = first.select("seq_id").distinct().withColumn("side", F.lit(0)).unionByName(second.select("seq_id").distinct().withColumn("side", F.lit(1)))
+    met = in_blocks(both.withColumn("all", F.lit(0)), "all").where("one.side = 0 and two.side = 1 and one.seq_id <> two.seq_id")
+    pairs, _ = Durable(reads.sparkSession, "pairs").keep(met.select(F.col("one.seq_id").alias("i"), F.col("two.seq_id").alias("j")))
+    scores = scored_pairs(pairs, reads, config, filtered=False)
+    return scores.groupBy("i", "j").agg(F.max(F.when(F.col("strand") > 0, F.col("dist"))).alias("d2"), F.max(F.when(F.col("strand") < 0, F.col("dist"))).alias("d2_rc"))
+
+
+def checked_ids(reads: DataFrame, ids: DataFrame, fixed: int, config: ClusterConfig | None = None) -> DataFrame:
+    """Each listed read (seq_id) compared with the read ``fixed``, as in ``compared_clusters``."""
+    one = reads.select("seq_id").where(F.col("seq_id") == fixed)
+    return compared_clusters(reads, ids, one, config)
+
+
 def witnesses(edges: DataFrame) -> DataFrame:
     """(seq_id, witness): the least read that each read matches."""
     both = edges.select(F.col("i").alias("seq_id"), F.col("j").alias("w")).unionByName(edges.select(F.col("j").alias("seq_id"), F.col("i").alias("w")))

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ClusterConfig
+from ..config import ClusterConfig, EditCosts
 from ..functions.bases import reverse_complement
-from ..sources.files import EditCosts
+
 
 _CODE = np.full(256, 255, np.uint8)
 for _i, _b in enumerate("ACGT"):
@@ -39,20 +39,19 @@ def _words(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _squares(w: np.ndarray, n: int) -> np.ndarray:
-    """Sum of squared word counts of each window of n words."""
-    _, ids = np.unique(w, return_inverse=True)
-    out = np.empty(len(w) - n + 1, np.int64)
-    count = np.bincount(ids[:n], minlength=int(ids.max()) + 1)
-    total = int((count * count).sum())
-    out[0] = total
-    for i in range(n, len(w)):
-        old, new = ids[i - n], ids[i]
-        total -= 2 * count[old] - 1
-        count[old] -= 1
-        total += 2 * count[new] + 1
-        count[new] += 1
-        out[i - n + 1] = total
-    return out
+    """Sum of squared word counts of each window of n words: n and twice the pairs of equal words in it."""
+    order = np.argsort(w, kind="stable")
+    word, change = w[order], np.zeros(len(w) + 1, np.int64)
+    d, open_ = 1, np.arange(len(w) - 1)
+    while len(open_):
+        open_ = open_[word[open_] == word[open_ + d]]
+        p, q = order[open_], order[open_ + d]
+        near = q - p < n  # in the windows that begin from q - n + 1 to p
+        np.add.at(change, np.maximum(0, q[near] - n + 1), 1)
+        np.add.at(change, p[near] + 1, -1)
+        d += 1
+        open_ = open_[open_ + d < len(w)]
+    return n + 2 * np.cumsum(change)[: len(w) - n + 1]
 
 
 def d2_windows(a: np.ndarray, b: np.ndarray, window: int, word: int, skip: int = 1) -> int | None:
@@ -154,7 +153,7 @@ DISTANCES: dict[str, Distance] = {
     "d2": Distance(lambda a, b, window, c: d2_windows(a, b, window, c.word_len, c.skip)),
     "whole": Distance(lambda a, b, window, c: d2_whole(a, b, c.word_len)),
     "ends": Distance(lambda a, b, window, c: ends(a, b, c.word_len)),
-    "ed": Distance(lambda a, b, window, c: local_edit(a, b, EditCosts()), -20, 1),
+    "ed": Distance(lambda a, b, window, c: local_edit(a, b, c.costs or EditCosts()), -20, 1),
     "heuristic": Distance(lambda a, b, window, c: 1),
 }
 
@@ -186,7 +185,8 @@ def scored_pairs(pairs: DataFrame, reads: DataFrame, config: ClusterConfig, filt
     exact = DISTANCES[config.distance].exact
     strands = [1, -1] if config.rc_check else [1]
     left = reads.select(F.col("seq_id").alias("i"), F.col("bases").alias("bi"))
-    right = reads.select(F.col("seq_id").alias("j"), F.col("bases").alias("bj"), reverse_complement("bases").alias("cj"))
+    other = reverse_complement("bases") if config.rc_check else F.lit(None).cast("string")
+    right = reads.select(F.col("seq_id").alias("j"), F.col("bases").alias("bj"), other.alias("cj"))
     joined = pairs.select("i", "j").join(left, "i").join(right, "j").select("i", "j", "bi", "bj", "cj")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,14 +60,19 @@ def index_range(reads: DataFrame, first: int, last: int) -> DataFrame:
     return reads.where(F.col("seq_id").between(first, last))
 
 
-def until_total(reads: DataFrame, target: int) -> DataFrame:
+def until_total(reads: DataFrame, target: int, size: int = 4096, sums_size: int = 65536) -> DataFrame:
     """The first reads, by id, up to the one with which their lengths first reach ``target``.
 
-    The running sum is taken over ranges of ids: within a range in order, before it from the sums of all ranges.
+    The running sum is taken over ranges of ids: within a range in order, before it from the sums of ranges, and before
+    these from the sums of ranges of ranges.
     """
-    numbered = number_in_key(reads.select("seq_id", "len").withColumn("key", F.lit(0)), "key", ["seq_id"], 4096)
-    sums = number_in_key(numbered.groupBy("_chunk").agg(F.sum("len").alias("n")).select("_chunk", "n").withColumnRenamed("_chunk", "chunk").withColumn("key", F.lit(0)), "key", ["chunk"])
-    before = sums.select("chunk", F.coalesce(F.sum("n").over(Window.partitionBy("key", "_chunk").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = number_in_key(reads.select("seq_id", "len").withColumn("key", F.lit(0)), "key", ["seq_id"], size)
+    sums = number_in_key(numbered.groupBy("_chunk").agg(F.sum("len").alias("n")).select("_chunk", "n").withColumnRenamed("_chunk", "chunk").withColumn("key", F.lit(0)), "key", ["chunk"], sums_size)
+    # chunks of chunks are so few that their sums are run over in one task
+    above = sums.groupBy(F.col("_chunk").alias("block")).agg(F.sum("n").alias("m"))
+    above = above.select("block", F.coalesce(F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_chunk").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.withColumn("inside", inside).join(above, F.col("_chunk") == F.col("block")).select("chunk", (F.col("base") + F.col("inside")).alias("before"))
     w = Window.partitionBy("_chunk").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
     running = numbered.join(before, F.col("_chunk") == F.col("chunk")).withColumn("so_far", F.col("before") + F.coalesce(F.sum("len").over(w), F.lit(0)))
     return reads.join(running.where(F.col("so_far") < target).select("seq_id"), "seq_id", "left_semi")

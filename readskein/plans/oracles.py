@@ -199,6 +199,9 @@ SELECT i, j, CAST(min(v) AS BIGINT) AS ends FROM (SELECT i, j, side, sum(c * c)
     q["reset_ids"] = _clusters(f"{EDGES}, {CUR}, {ASKED}, ci AS MATERIALIZED (SELECT * FROM cur WHERE seq_id IN (SELECT seq_id FROM ids) AND seq_id NOT IN (SELECT seq_id FROM asked))", f"SELECT i, j FROM e WHERE i IN (SELECT seq_id FROM asked) AND j IN (SELECT seq_id FROM asked) UNION ALL {_star('ci')}")
     sides = "SELECT 2 * i + s AS i, 2 * j + (s + CASE WHEN strand < 0 THEN 1 ELSE 0 END) % 2 AS j FROM e, (VALUES (0), (1)) v(s)"
     q["signed_orientation"] = _clusters(EDGES + ", sided AS (SELECT 2 * seq_id AS seq_id FROM ids)", sides, "sided", "SELECT seq_id // 2 AS seq_id, cluster_id // 2 AS cluster_id, CAST(CASE WHEN cluster_id % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS orient FROM labelled")
+    q["clusters_by_name"] = f"WITH {ALL}, {CUR} SELECT cluster_id, concat(id, '#', CAST(seq_id AS VARCHAR)) AS id FROM cur JOIN ra USING (seq_id)"
+    q["cluster_line_parts"] = f"""WITH {CUR}, n AS (SELECT cluster_id, seq_id, (row_number() OVER (PARTITION BY cluster_id ORDER BY seq_id) - 1) // 50 AS part, (count(*) OVER (PARTITION BY cluster_id) - 1) // 50 AS last FROM cur)
+SELECT cluster_id, part, concat(array_to_string(list(CAST(seq_id AS VARCHAR) ORDER BY seq_id), ' '), CASE WHEN part = max(last) THEN '.' ELSE '' END) AS line FROM n GROUP BY cluster_id, part"""
     q["klink_sym"] = f"WITH {EDGES} SELECT seq_id, list(n ORDER BY n) AS neighbours FROM (SELECT i AS seq_id, j AS n FROM e UNION SELECT j, i FROM e UNION SELECT seq_id, seq_id FROM ids) GROUP BY seq_id"
     q["klink_asym"] = f"WITH {EDGES} SELECT seq_id, coalesce(list(DISTINCT j ORDER BY j) FILTER (j IS NOT NULL), []) AS neighbours FROM ids LEFT JOIN e ON i = seq_id GROUP BY seq_id"
     q["witness_reads"] = f"WITH {EDGES}, {wit} SELECT s AS seq_id, w AS witness FROM wit"

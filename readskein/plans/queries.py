@@ -312,6 +312,43 @@ def clusters_cc(spark: SparkSession, base: str) -> DataFrame:
     return min_labels(edges_of(spark, base), nodes=ids_of(spark, base))
 
 
+@query
+def range_search_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Matches of the reads of a range with later ones, from a search for them only."""
+    r = reads_of(spark, base)
+    return C.match_edges(r, CONFIG, left=R.index_range(r, 500, 999))
+
+
+@query
+def klink_search(spark: SparkSession, base: str) -> DataFrame:
+    return C.linked_reads(reads_of(spark, base), CONFIG)
+
+
+@query
+def edit_costs_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Matches by the edit distance with the costs of the manual."""
+    return C.match_edges(reads_of(spark, base), CONFIG.but(distance="ed", costs=S.MANUAL_COSTS, rc_check=False))
+
+
+@query
+def clusters_by_name(spark: SparkSession, base: str) -> DataFrame:
+    """The current clustering with names for numbers; a name that two reads have is completed by the number."""
+    named = all_reads(spark, base).select("seq_id", F.concat_ws("#", "id", F.col("seq_id").cast("string")).alias("id"))
+    return S.translated(current(spark, base), named)[0]
+
+
+@query
+def cluster_line_parts(spark: SparkSession, base: str) -> DataFrame:
+    """Lines of a cluster file, none with more than 50 ids."""
+    return S.cluster_line_parts(current(spark, base), 50)
+
+
+@query
+def compared_clusters(spark: SparkSession, base: str) -> DataFrame:
+    """Distances between the reads that past runs were asked to show and those of the earlier run."""
+    return C.compared_clusters(all_reads(spark, base), asked(spark, base), reads2_of(spark, base))
+
+
 @query
 def clusters_candidates(spark: SparkSession, base: str) -> DataFrame:
     r = reads_of(spark, base)

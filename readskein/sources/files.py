@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EditCosts
 from ..functions.bases import fasta_record
 from ..operators.chunks import number_in_key
 
 
+#: Ids on a line of a cluster file.
+LINE_IDS = 65_536
+
+
 def _numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Rows numbered over all partitions in the given order, without sorting them in one task."""
     keyed = number_in_key(df.withColumn("key", F.lit(0)), "key", order)
@@ -62,15 +65,16 @@ def parse_clusters(lines: DataFrame, start: int = 0) -> DataFrame:
         ends = F.when(F.col("value").contains("."), 1).otherwise(0)
         part = F.shiftright("place", 33)
         sums = lines.groupBy(part.alias("part")).agg(F.sum(ends).alias("n"))
-        first = sums.join(sums.select(F.col("part").alias("p"), F.col("n").alias("m")), F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("first"))
+        # one row for each partition of the input
+        first = sums.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
         before = F.sum("ends").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-        grouped = lines.withColumns({"part": part, "ends": ends}).withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "part").withColumn("at", F.col("first") + F.col("before"))
+        grouped = lines.withColumns({"part": part, "ends": ends}).withColumn("before", F.coalesce(before, F.lit(0))).join(first, F.col("part") == F.col("of")).withColumn("at", F.col("first") + F.col("before"))
     else:
         grouped = lines.withColumn("at", F.col("place"))
     ids = F.expr("filter(split(translate(value, '.', ' '), '[ \\t]+'), x -> x rlike '^[0-9]+$')")
     flat = grouped.select("at", "place", F.posexplode(ids).alias("p", "x")).select("at", "place", "p", (F.col("x").cast("bigint") + start).alias("seq_id"))
-    w = Window.partitionBy("at")
-    return flat.select(F.min("seq_id").over(w).alias("cluster_id"), (F.row_number().over(w.orderBy("place", "p")) - 1).cast("bigint").alias("ord"), "seq_id")
+    least = flat.groupBy("at").agg(F.min("seq_id").alias("cluster_id"))
+    return number_in_key(flat, "at", ["place", "p"]).join(least, "at").select("cluster_id", F.col("_number").alias("ord"), "seq_id")
 
 
 def read_clusters(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
@@ -84,8 +88,38 @@ def cluster_lines(clusters: DataFrame, stop: bool = True) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(F.concat(ids, F.lit("." if stop else "")).alias("line"))
 
 
+def cluster_line_parts(clusters: DataFrame, size: int = LINE_IDS) -> DataFrame:
+    """(cluster_id, part, line): the members of each cluster in order, in lines of at most ``size``; only the last line of
+    a cluster has a full stop, so readers put the lines together, and no row holds a large cluster whole."""
+    numbered = number_in_key(clusters.select("seq_id", "cluster_id"), "cluster_id", ["seq_id"], size)
+    sizes = clusters.groupBy("cluster_id").agg((F.ceil(F.count("*") / size) - 1).cast("bigint").alias("last"))
+    ids = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("seq_id")), lambda x: x.cast("string")))
+    lines = numbered.groupBy("cluster_id", F.col("_chunk").alias("part")).agg(ids.alias("ids")).join(sizes, "cluster_id")
+    return lines.select("cluster_id", "part", F.concat("ids", F.when(F.col("part") == F.col("last"), ".").otherwise("")).alias("line"))
+
+
 def write_clusters(clusters: DataFrame, path: str) -> None:
-    cluster_lines(clusters).orderBy("cluster_id").select(F.col("line").alias("value")).write.text(path)
+    cluster_line_parts(clusters).orderBy("cluster_id", "part").select(F.col("line").alias("value")).write.text(path)
+
+
+def translated(clusters: DataFrame, reads: DataFrame, to: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(clusters, missing) between numbers and names of reads: with ``to`` "id", (cluster_id, seq_id) become
+    (cluster_id, id), with "seq_id", (cluster_id, id) become (cluster_id, seq_id). ``missing`` has what ``reads`` (seq_id,
+    id) don't know. A name of two reads is an error; members that are missing are left out, and null ones too."""
+    known = reads.select("seq_id", "id").where("seq_id is not null and id is not null").distinct()
+    if not known.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("several reads have the same id")
+    of = "seq_id" if to == "id" else "id"
+    given = clusters.select("cluster_id", of).where(F.col(of).isNotNull())
+    return given.join(known, of).select("cluster_id", to), given.join(known, of, "left_anti").select(of).distinct()
+
+
+def read_two_clusters(spark: SparkSession, path: str, start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(seq_id) of the first and of the second line of a file of two lists of numbers; further lines are left out."""
+    lines = _numbered(_records(spark, path, "\n").where(F.trim("value") != ""), ["file", "place"], "line")
+    ids = F.expr("filter(split(translate(value, '.', ' '), '[ \\t\\r]+'), x -> x rlike '^[0-9]+$')")
+    flat = lines.where("line < 2").select("line", F.explode(ids).alias("x")).select("line", (F.col("x").cast("bigint") + start).alias("seq_id")).distinct()
+    return flat.where("line = 0").select("seq_id"), flat.where("line = 1").select("seq_id")
 
 
 def extended_table(clusters: DataFrame, witness: DataFrame | None = None) -> DataFrame:
@@ -146,15 +180,6 @@ def read_constraints(spark: SparkSession, path: str, start: int = 0) -> DataFram
     return parse_constraints(spark.read.text(path), start)
 
 
-@dataclass(frozen=True)
-class EditCosts:
-    """Costs of local alignment: a negative match is good."""
-
-    table: tuple[tuple[int, ...], ...] = tuple(tuple(-1 if a == b else 2 for b in range(4)) for a in range(4))
-    open: int = 1
-    extend: int = 1
-
-
 MANUAL_COSTS = EditCosts(tuple(tuple(-1 if a == b else 3 for b in range(4)) for a in range(4)), 5, 2)
 
 

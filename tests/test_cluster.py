@@ -319,3 +319,46 @@ def test_frequent_keys_and_buckets(spark):
 
     got = B.shuffled(rows.mapInArrow(spread, B.SCHEMA)).mapInArrow(count, "bucket int, n bigint, keys bigint").collect()
     assert len({r.bucket for r in got}) == len(got) and sum(r.n for r in got) == 5000 and sum(r.keys for r in got) == 5000 - 1667
+
+
+def test_a_running_total_goes_on_across_ranges_of_ranges(spark):
+    r = random.Random(3)
+    rows = [(i, r.randrange(1, 9)) for i in range(200)]
+    reads = spark.createDataFrame(rows, "seq_id bigint, len int").repartition(3)
+    for target in (1, 50, 400, 10_000):
+        total, want = 0, set()
+        for i, n in rows:
+            if total < target:
+                want.add(i)
+            total += n
+        assert {x.seq_id for x in R.until_total(reads, target, 4, 5).collect()} == want
+
+
+def test_lists_of_reads_are_compared_and_links_searched(spark):
+    from readskein.operators import distance as D
+
+    reads, rows = some_reads(spark, 8)
+    got = {(x.i, x.j): (x.d2, x.d2_rc) for x in C.compared_clusters(reads, spark.createDataFrame([(1,), (2,), (77,)], "seq_id bigint"), spark.createDataFrame([(2,), (3,)], "seq_id bigint")).collect()}
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    want = {(i, j): tuple(D.d2_windows(D.codes(rows[i]), D.codes(b), 100, 6) for b in (rows[j], turn(rows[j]))) for i, j in ((1, 2), (1, 3), (2, 3))}
+    assert got == want
+    assert {x.i for x in C.checked_ids(reads, spark.createDataFrame([(1,), (2,)], "seq_id bigint"), 5).collect()} == {1, 2}
+    edges = {(x.i, x.j) for x in C.match_edges(reads, ClusterConfig()).collect()}
+    links = {x.seq_id: x.neighbours for x in C.linked_reads(reads, ClusterConfig(), symmetric=False).collect()}
+    assert {(i, j) for i, n in links.items() for j in n} == edges
+
+
+def test_a_run_is_resumed_from_its_folder(spark, tmp_path):
+    from readskein.streaming.incremental import GrowingClusters
+
+    reads, _ = some_reads(spark, 24)
+    first = reads.where("seq_id < 8")
+    grown = GrowingClusters(first, C.cluster(first), folder=str(tmp_path / "run"))
+    grown.absorb(reads.where("seq_id >= 8 and seq_id < 16"), 0)
+    again = GrowingClusters.resume(spark, str(tmp_path / "run"))
+    assert again.done == {0} and groups(again.clusters) == groups(grown.clusters)
+    again.absorb(reads.where("seq_id >= 8 and seq_id < 16"), 0)
+    again.absorb(reads.where("seq_id >= 16"), 1)
+    assert groups(again.clusters) == groups(C.cluster(reads)) and again.reads.count() == reads.count()
+    with pytest.raises(ValueError):
+        GrowingClusters.resume(spark, str(tmp_path / "nothing"))

@@ -6,7 +6,8 @@ import pytest
 
 from readskein.config import ClusterConfig
 from readskein.operators import distance as D
-from readskein.sources.files import MANUAL_COSTS, EditCosts, parse_costs
+from readskein.config import EditCosts
+from readskein.sources.files import MANUAL_COSTS, parse_costs
 
 R = random.Random(3)
 

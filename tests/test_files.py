@@ -93,3 +93,30 @@ def test_reports_on_empty_tables(spark):
 def test_until_total(spark, target, want):
     reads = spark.createDataFrame([(i, 5) for i in range(4)], "seq_id bigint, len int")
     assert R.until_total(reads, target).count() == want
+
+
+def test_names_for_numbers_and_back(spark):
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 9), (None, 9)], "seq_id bigint, cluster_id bigint")
+    reads = spark.createDataFrame([(1, "a"), (2, "b"), (5, "c"), (None, "x"), (7, None)], "seq_id bigint, id string")
+    named, missing = S.translated(clusters, reads)
+    assert {tuple(x) for x in named.collect()} == {(1, "a"), (1, "b"), (5, "c")} and [x.seq_id for x in missing.collect()] == [9]
+    back, lost = S.translated(named.unionByName(spark.createDataFrame([(5, "zz")], named.schema)), reads, "seq_id")
+    assert {tuple(x) for x in back.collect()} == {(1, 1), (1, 2), (5, 5)} and [x.id for x in lost.collect()] == ["zz"]
+    with pytest.raises(ValueError):
+        S.translated(clusters, reads.unionByName(spark.createDataFrame([(8, "a")], reads.schema)))
+
+
+def test_large_clusters_take_several_lines(spark, tmp_path):
+    clusters = spark.createDataFrame([(i, 0) for i in range(25)] + [(30, 30), (31, 30)], "seq_id bigint, cluster_id bigint")
+    lines = S.cluster_line_parts(clusters, 10).orderBy("cluster_id", "part")
+    got = [x.line for x in lines.collect()]
+    assert got == ["0 1 2 3 4 5 6 7 8 9", "10 11 12 13 14 15 16 17 18 19", "20 21 22 23 24.", "30 31."]
+    lines.select(F.col("line").alias("value")).coalesce(1).write.text(str(tmp_path / "c"))
+    back = S.read_clusters(spark, str(tmp_path / "c"))
+    assert {(x.cluster_id, x.seq_id, x.ord) for x in back.collect()} == {(0, i, i) for i in range(25)} | {(30, 30, 0), (30, 31, 1)}
+
+
+def test_two_lists(spark, tmp_path):
+    (tmp_path / "two.txt").write_text("3 1 2.\n\n7 8\n9\n")
+    a, b = S.read_two_clusters(spark, str(tmp_path / "two.txt"), 10)
+    assert sorted(x.seq_id for x in a.collect()) == [11, 12, 13] and sorted(x.seq_id for x in b.collect()) == [17, 18]
