@@ -115,7 +115,9 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
                 to[np.isin(word, hot)] = -1
                 yield bundled(out, to)
 
-    bundles, _ = Durable(spark, "words").keep(rows.mapInArrow(spread, SCHEMA))
+    bundles = rows.mapInArrow(spread, SCHEMA)
+    if len(hot):
+        bundles, _ = Durable(spark, "words").keep(bundles)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words_ in whole_buckets(batches, _WORD):
@@ -127,7 +129,9 @@ def candidates(reads: DataFrame, config: ClusterConfig, left: DataFrame | None =
 
     met, _ = Durable(spark, "met").keep(shuffled(bundles.where("bucket >= 0")).mapInArrow(meet, MET))
     pairs = met.where("j is not null").select("i", "j", "shared", "first", "last")
-    big = met.where("j is null").unionByName(bundles.where("bucket < 0").mapInArrow(raw, MET))
+    big = met.where("j is null")
+    if len(hot):
+        big = big.unionByName(bundles.where("bucket < 0").mapInArrow(raw, MET))
     big = big.select("word", F.col("i").alias("seq"), F.col("shared").alias("n"), "first", "last", "flags")
     if limit is not None:
         big = big.join(big.groupBy("word").count().where(F.col("count") <= limit).select("word"), "word", "left_semi")

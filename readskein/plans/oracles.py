@@ -129,7 +129,6 @@ def oracle_sql() -> dict[str, str]:
 SELECT v.base, CAST(v.code AS INTEGER) AS code, coalesce(n, 0) AS n FROM (VALUES ('A', 0), ('C', 1), ('G', 2), ('T', 3)) v(base, code) LEFT JOIN z USING (base)"""
     q["revcomp"] = f"WITH {R1} SELECT seq_id, {RC.format('bases')} AS rc FROM r"
     q["mirror_union"] = f"WITH {R1} SELECT seq_id, id, bases, 0 AS part FROM r UNION ALL SELECT seq_id, id, {RC.format('bases')}, 1 FROM r"
-    q["kmer_explode"] = f"WITH {R2}, {_words(8, False, 'w', 'r2')} SELECT seq_id, CAST(pos AS INTEGER) AS pos, word FROM w"
     q["kmer_explode_all"] = f"WITH {ALL}, {_words(8, False, 'w', 'ra')} SELECT seq_id, CAST(pos AS INTEGER) AS pos, word FROM w"
     q["sample_word_numbers"] = f"""WITH {R1}, w AS (SELECT seq_id, k - 1 AS place, substr(bases, k * 8 + 1, 8) AS word FROM (SELECT seq_id, bases, unnest(generate_series(1, length(bases) // 8 - 2)) AS k FROM r))
 SELECT seq_id, CAST(place AS INTEGER) AS place, CAST(list_sum(list_transform(generate_series(1, 8), lambda p: (position(substr(word, p, 1) IN 'ACGT') - 1) * CAST(pow(4, 8 - p) AS BIGINT))) AS BIGINT) AS number, word FROM w"""
@@ -158,9 +157,6 @@ SELECT own.seq_id AS i, s.seq_id AS j, CAST(strand AS INTEGER) AS strand, CAST(s
     q["window_hits"] = f"WITH {HITS} SELECT i, j, strand, sample, hits FROM hits"
     q["prefilter_pairs"] = f"""WITH {HITS}, t AS (SELECT h.*, max(sample) OVER (PARTITION BY h.i, h.j) AS top, least(100, length(bi), length(bj)) AS lw, length(bj) AS lj FROM hits h JOIN pr USING (i, j))
 SELECT i, j, strand, sample, hits FROM t WHERE top > 1 AND sample > (CASE WHEN lj < 100 THEN 4 - ((116 - lj) // 16) ELSE 4 END) AND hits >= 70 - (100 - lw)"""
-    q["d2_whole_pairs"] = f"""WITH {R2}, {_words(6, False, "w", "r2")}, t AS (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL), q AS (SELECT seq_id, sum(n * n) AS q FROM t GROUP BY 1),
-s AS (SELECT a.seq_id AS i, b.seq_id AS j, sum(a.n * b.n) AS c FROM t a JOIN t b ON a.word = b.word AND a.seq_id < b.seq_id GROUP BY 1, 2)
-SELECT a.seq_id AS i, b.seq_id AS j, CAST(a.q + b.q - 2 * coalesce(c, 0) AS BIGINT) AS d2 FROM q a JOIN q b ON a.seq_id < b.seq_id LEFT JOIN s ON s.i = a.seq_id AND s.j = b.seq_id"""
     both = _clean("(SELECT seq_id, id, clone, bases FROM reads UNION ALL SELECT seq_id, id, clone, bases FROM reads2)", "r")
     q["d2_whole_candidates"] = f"""WITH {_candidates(reads=both)}, {_words(6, False, "w")}, t AS MATERIALIZED (SELECT seq_id, word, count(*) AS n FROM w GROUP BY ALL), q AS (SELECT seq_id, sum(n * n) AS q FROM t GROUP BY 1),
 s AS (SELECT i, j, sum(a.n * b.n) AS c FROM cand JOIN t a ON a.seq_id = i JOIN t b ON b.seq_id = j AND b.word = a.word GROUP BY 1, 2)

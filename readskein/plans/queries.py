@@ -15,7 +15,7 @@ from ..operators import reports as R
 from ..operators.chunks import members_with_successor
 from ..operators.components import apart_labels, min_labels, signed_labels
 from ..operators.distance import scored_pairs
-from ..operators.pairs import candidates, ranged, sample_hits, stepped, word_table
+from ..operators.pairs import candidates, ranged, sample_hits, stepped
 from ..session import Durable, table
 from ..sources import files as S
 from ..sources.tables import asked_reads, clean_edges, clean_reads, forest_clustering
@@ -104,12 +104,6 @@ def mirror_union(spark: SparkSession, base: str) -> DataFrame:
     return r.withColumn("part", F.lit(0)).unionByName(r.withColumns({"bases": B.reverse_complement("bases"), "part": F.lit(1)}))
 
 
-@query
-def kmer_explode(spark: SparkSession, base: str) -> DataFrame:
-    """Words of the earlier run's reads; ``kmer_explode_all`` has those of all reads."""
-    return reads2_of(spark, base).select("seq_id", F.posexplode(B.words("bases", 8)).alias("pos", "word"))
-
-
 @query
 def kmer_explode_all(spark: SparkSession, base: str) -> DataFrame:
     return all_reads(spark, base).select("seq_id", F.posexplode(B.words("bases", 8)).alias("pos", "word"))
@@ -206,20 +200,9 @@ def prefilter_pairs(spark: SparkSession, base: str) -> DataFrame:
     return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), heuristic).where("dist is not null").select("i", "j", "strand", "sample", "hits")
 
 
-@query
-def d2_whole_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Distance of whole reads, for all pairs of the earlier run's reads, from joined word counts; of the candidates
-    among all reads it is in ``d2_whole_candidates``."""
-    r = reads2_of(spark, base)
-    w = word_table(r, CONFIG.word_len, False).select("seq_id", "word", F.col("n").cast("bigint").alias("n"))
-    own = w.groupBy("seq_id").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
-    shared = w.select(F.col("seq_id").alias("i"), "word", F.col("n").alias("ni")).join(w.select(F.col("seq_id").alias("j"), "word", F.col("n").alias("nj")), "word").where("i < j").groupBy("i", "j").agg(F.sum(F.col("ni") * F.col("nj")).alias("c"))
-    pairs = own.select(F.col("seq_id").alias("i"), F.col("q").alias("qi")).join(own.select(F.col("seq_id").alias("j"), F.col("q").alias("qj")), F.col("i") < F.col("j"))
-    return pairs.join(shared, ["i", "j"], "left").select("i", "j", (F.col("qi") + F.col("qj") - 2 * F.coalesce("c", F.lit(0))).alias("d2"))
-
-
 @query
 def d2_whole_candidates(spark: SparkSession, base: str) -> DataFrame:
+    """Distance of whole reads for the candidates among all reads."""
     r = all_reads(spark, base)
     pairs, _ = Durable(spark, "candidates").keep(candidates(r, CONFIG).select("i", "j"))
     return scored_pairs(pairs, r, CONFIG.but(distance="whole", rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("d2"))
