@@ -362,3 +362,39 @@ def test_a_run_is_resumed_from_its_folder(spark, tmp_path):
     assert groups(again.clusters) == groups(C.cluster(reads)) and again.reads.count() == reads.count()
     with pytest.raises(ValueError):
         GrowingClusters.resume(spark, str(tmp_path / "nothing"))
+
+
+@pytest.mark.parametrize(("k", "either"), [(16, True), (14, True), (31, True), (5, False)])
+def test_words_travel_as_runs_and_come_out_whole(k, either):
+    from readskein.functions import buckets as B
+    from readskein.functions.arrays import flat
+    from readskein.operators import pairs as P
+
+    pa = pytest.importorskip("pyarrow")
+    r = random.Random(k)
+    source = "".join(r.choice("ACGT") for _ in range(3000))
+    bases = ["A" * 50, "ACGT" * 20, "", "N" * 40, *(source[at : at + 400] + "n" + source[at : at + 90] for at in range(0, 2600, 60)), "A" * 31]
+    codes, offsets = flat(pa.array(bases))
+    seq = np.arange(len(bases), dtype=np.int64) * 7 + 2**40
+    row, word, n, first, last, twofold = P._counted(codes, offsets, k, either)
+    several = {int(w) for w in np.unique(word) if len(np.unique(row[word == w])) > 1}
+    hot = np.array(sorted(several)[:2], np.int64)
+    want = {(int(w), int(seq[x]), int(c), int(a), int(z), bool(t)) for x, w, c, a, z, t in zip(row, word, n, first, last, twofold, strict=True) if int(w) in several - set(hot.tolist())}
+    sent = P.spread_runs(seq, codes, offsets, np.full(len(seq), 6, np.int32), k, P.least_part(k, 8), either, hot, 8)
+    got = [x for _, blobs in B.bucket_blobs([sent]) for x in P.counted_runs(blobs, k, either)]
+    assert {(int(x["key"]), int(x["seq"]), int(x["n"]), int(x["first"]), int(x["last"]), bool(x["flags"] & P._TWOFOLD)) for x in got} == want and len(got) == len(want)
+    if 10 < k < 20:
+        assert sum(len(x) for x in sent.column(1).to_pylist()) < 4 * len(word)  # 32 as rows
+
+
+def test_sums_of_pairs_come_out_as_they_were_packed():
+    from readskein.functions import buckets as B
+    from readskein.operators import pairs as P
+
+    r = np.random.default_rng(4)
+    i, j = r.integers(0, 40, 500) + 2**41, r.integers(-5, 2**42, 500)
+    rest = [r.integers(0, 900, 500) for _ in range(3)]
+    met = (i, j, rest[0], rest[1].astype(np.int32), (rest[1] + rest[2]).astype(np.int32), r.integers(0, 2, 500) * P._SHORT)
+    back = [P.unpacked(x) for _, blobs in B.bucket_blobs([P._bundled_pairs(met, 5)]) for x in blobs]
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back, strict=True)), strict=True)) == sorted(zip(*(x.tolist() for x in met), strict=True))
+    assert P._bundled_pairs(tuple(x[:0] for x in met), 5).num_rows == 0
