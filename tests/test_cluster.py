@@ -398,3 +398,25 @@ def test_sums_of_pairs_come_out_as_they_were_packed():
     back = [P.unpacked(x) for _, blobs in B.bucket_blobs([P._bundled_pairs(met, 5)]) for x in blobs]
     assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back, strict=True)), strict=True)) == sorted(zip(*(x.tolist() for x in met), strict=True))
     assert P._bundled_pairs(tuple(x[:0] for x in met), 5).num_rows == 0
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_big_words_count_for_pairs_of_other_words(spark, monkeypatch, symmetric):
+    from readskein.operators import pairs as P
+
+    r = random.Random(12)
+    some = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    tail, ends = "A" * 12, some(9)
+    rows = []
+    for i in range(24):
+        own = some(90 if i % 5 else 30)
+        rows += [(3 * i, own + tail), (3 * i + 1, some(20) + own[-25:] + tail), (3 * i + 2, ends + some(60) + ends if i % 4 else own[:12] + some(55) + tail)]
+    reads = spark.createDataFrame(rows, "seq_id bigint, bases string")
+    config = ClusterConfig(kmer_len=9, beta=40)
+    plain = {tuple(x) for x in candidates(reads, config, symmetric=symmetric).collect()}
+    monkeypatch.setattr(P, "BLOCK", 9)
+    assert {tuple(x) for x in candidates(reads, config, symmetric=symmetric).collect()} == plain and len(plain) > 24
+    row = np.zeros(20, P._DEALT)
+    row["seq"], row["n"], row["flags"] = np.arange(20), 1, P._LEFT | P._RIGHT | np.where(np.arange(20) == 3, P._WIDE, 0)
+    sent = [(int(i), int(j)) for met in P._block_meetings(row, symmetric) for i, j in zip(met[0], met[1], strict=True)]
+    assert sorted(sent) == [(3, j) for j in range(20) if (j != 3 if symmetric else j > 3)]
