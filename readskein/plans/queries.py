@@ -205,23 +205,23 @@ def d2_whole_candidates(spark: SparkSession, base: str) -> DataFrame:
     """Distance of whole reads for the candidates among all reads."""
     r = all_reads(spark, base)
     pairs, _ = Durable(spark, "candidates").keep(candidates(r, CONFIG).select("i", "j"))
-    return scored_pairs(pairs, r, CONFIG.but(distance="whole", rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("d2"))
+    return scored_pairs(pairs, r, CONFIG.but(distance="whole", rc_check=False), filtered=False, counted=False).select("i", "j", F.col("dist").alias("d2"))
 
 
 @query
 def d2_window_min(spark: SparkSession, base: str) -> DataFrame:
-    return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG.but(rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("d2"))
+    return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG.but(rc_check=False), filtered=False, counted=False).select("i", "j", F.col("dist").alias("d2"))
 
 
 @query
 def d2_both_strands(spark: SparkSession, base: str) -> DataFrame:
-    scores = scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG, filtered=False)
+    scores = scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG, filtered=False, counted=False)
     return scores.groupBy("i", "j").agg(F.max(F.when(F.col("strand") > 0, F.col("dist"))).alias("d2"), F.max(F.when(F.col("strand") < 0, F.col("dist"))).alias("d2_rc"))
 
 
 @query
 def ends_distance(spark: SparkSession, base: str) -> DataFrame:
-    return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG.but(distance="ends", rc_check=False), filtered=False).select("i", "j", F.col("dist").alias("ends"))
+    return scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG.but(distance="ends", rc_check=False), filtered=False, counted=False).select("i", "j", F.col("dist").alias("ends"))
 
 
 @query
@@ -248,7 +248,7 @@ def gap_runs(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def distance_histogram(spark: SparkSession, base: str) -> DataFrame:
-    return R.distance_histogram(scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG, filtered=False))
+    return R.distance_histogram(scored_pairs(candidate_pairs(spark, base), reads_of(spark, base), CONFIG, filtered=False, counted=False))
 
 
 @query

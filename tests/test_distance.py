@@ -161,3 +161,26 @@ def test_word_hits_with_other_characters():
         last = len(b) // 8 - 2
         want = sum(hit[8 : 8 * last + 1 : 8]), max((sum(hit[max(0, k - 57) : k]) for k in range(1, len(hit) + 1)), default=0)
         assert D.word_hits(D.codes(a), D.codes(b), 50) == want == D.word_hits(D.WordSet(D.codes(a)), D.codes(b), 50)
+
+
+def test_windows_of_strings_of_several_kinds_and_sizes():
+    import random
+
+    r = random.Random(8)
+    for window, word, skip, letters in ((20, 4, 1, "ACGT"), (33, 6, 3, "ACGTN"), (30, 3, 1, "AAAC"), (300, 6, 1, "ACGT"), (290, 8, 1, "ACGT")):
+        a = "".join(r.choice(letters) for _ in range(window + 40))
+        b = "".join(r.choice("ACGT") for _ in range(9)) + a[5 : window + 20] + "".join(r.choice(letters) for _ in range(20))
+        n = window - word + 1
+        count = lambda s, at: Counter(s[at + k : at + k + word] for k in range(n))
+        right = [count(b, y) for y in range(len(b) - window + 1)]
+        want = min(sum((c[w] - d[w]) ** 2 for w in c.keys() | d.keys()) for c in (count(a, x) for x in range(0, len(a) - window + 1, skip)) for d in right)
+        assert D.d2_windows(D.codes(a), D.codes(b), window, word, skip) == want
+
+
+def test_distances_alone_are_those_with_counts(spark):
+    reads = spark.createDataFrame([(i, bases(150)) for i in range(6)], "seq_id bigint, bases string")
+    pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(i)], "i bigint, j bigint")
+    of = lambda **k: {(r.i, r.j, r.strand): r.dist for r in D.scored_pairs(pairs, reads, ClusterConfig(), filtered=False, **k).collect()}
+    assert of(counted=False) == of() and len(of()) == 30
+    with pytest.raises(ValueError):
+        D.scored_pairs(pairs, reads, ClusterConfig(), counted=False)
