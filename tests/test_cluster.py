@@ -8,6 +8,7 @@ from readskein.operators import cluster as C
 from readskein.operators import compare as M
 from readskein.operators import pairs as P
 from readskein.operators import reports as R
+from readskein.operators.distance import scored_pairs
 from readskein.operators.components import apart_labels, min_labels, signed_labels
 from readskein.operators.pairs import candidates, sample_hits
 from readskein.sources import files as S
@@ -287,6 +288,24 @@ def test_sample_hits_are_counted_in_blocks_without_a_join_on_words(spark, monkey
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("config", [ClusterConfig(), ClusterConfig(rc_check=False, sample_thresh=2, common_word=36, window_len=80)])
+def test_all_pairs_are_filtered_where_samples_are_counted(spark, monkeypatch, config):
+    monkeypatch.setattr(P, "BLOCK_READS", 20)
+    r = random.Random(5)
+    b = "".join(r.choice("ACGT") for _ in range(1500))
+    texts = [b[at : at + r.choice([60, 90, 130, 250])] for at in (r.randrange(1200) for _ in range(60))]
+    texts += ["".join(c if r.random() > 0.12 else r.choice("ACGT") for c in x) for x in texts] + [x[:50] + "N" + x[51:] for x in texts[:5]]
+    texts += [x.translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in texts[:30]]
+    reads = spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, bases string")
+    hits = sample_hits(reads, config).select("i", "j").distinct()
+    passed = scored_pairs(hits, reads, config.but(distance="heuristic")).where("dist is not null").select("i", "j").distinct()
+    rows = [tuple(x) for x in P.filtered_pairs(reads, config).collect()]
+    got, want, other = set(rows), set(map(tuple, passed.collect())), set(range(120, 125))
+    assert len(got) == len(rows) and want <= got
+    assert all(set(x) & other for x in got - want)
+    assert len(want) < hits.count()
+
+
 def test_a_long_chain_of_random_ids_ends_in_few_rounds(spark):
     ids = list(range(100_000))
     random.Random(1).shuffle(ids)
