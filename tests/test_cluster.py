@@ -306,6 +306,23 @@ def test_all_pairs_are_filtered_where_samples_are_counted(spark, monkeypatch, co
     assert len(want) < hits.count()
 
 
+def test_words_are_shuffled_in_passes_and_pairs_come_out_whole(spark, monkeypatch):
+    r = random.Random(21)
+    b = "".join(r.choice("ACGT") for _ in range(3000))
+    reads = spark.createDataFrame([(i, b[at : at + 200]) for i, at in enumerate(r.randrange(2800) for _ in range(80))], "seq_id bigint, bases string")
+    want = set(map(tuple, candidates(reads, ClusterConfig()).collect()))
+    monkeypatch.setattr(P, "bucket_number", lambda spark, rows: 16)
+    monkeypatch.setattr(P, "PASS_BASES", 5000)
+    kept, run = [], P.spread_runs
+    monkeypatch.setattr(P.Durable, "keep", lambda self, df, keep=P.Durable.keep: kept.append(self.base.rpartition("/")[2]) or keep(self, df))
+    assert set(map(tuple, candidates(reads, ClusterConfig()).collect())) == want and len(want) > 50
+    assert sum(x.startswith("met-") for x in kept) == 2 * 4  # a pass for words and one for sums each
+    seq, (codes, offsets) = np.arange(2), P.flat(P.pa.array([b[:200], b[100:300]]))
+    of = [run(seq, codes, offsets, np.zeros(2, np.int64), 16, 7, True, np.zeros(0, np.int64), 16, np.arange(16) * 4 // 16 == t).column(0).to_pylist() for t in range(4)]
+    assert sorted(sum(of, [])) == run(seq, codes, offsets, np.zeros(2, np.int64), 16, 7, True, np.zeros(0, np.int64), 16).column(0).to_pylist()
+    assert all(x // 4 == t for t, own in enumerate(of) for x in own)
+
+
 def test_a_long_chain_of_random_ids_ends_in_few_rounds(spark):
     ids = list(range(100_000))
     random.Random(1).shuffle(ids)
