@@ -184,3 +184,29 @@ def test_distances_alone_are_those_with_counts(spark):
     assert of(counted=False) == of() and len(of()) == 30
     with pytest.raises(ValueError):
         D.scored_pairs(pairs, reads, ClusterConfig(), counted=False)
+
+
+def test_edit_costs_by_letters_at_any_width(monkeypatch):
+    table = lambda equal, other: tuple(tuple(equal if x == y else other for y in range(4)) for x in range(4))
+    some = lambda n: "".join(R.choice("ACGTN") for _ in range(n))
+    pairs = [(D.codes(x), D.codes(y)) for x, y in (("", "A"), ("A", ""), ("N", "N"), ("A", "A"), ("A", "C"), ("ACGTACGTA", "A"))]
+    for _ in range(60):
+        a = some(R.randrange(1, 70))
+        pairs.append((D.codes(a), D.codes(a[R.randrange(len(a)) :] + some(R.randrange(40)) + a[:20])))
+    plain = (EditCosts(), MANUAL_COSTS, EditCosts(open=-1), EditCosts(table=table(-1, 0)), EditCosts(table(-300, 200), 90, 7), EditCosts(table(-1000, 900), 90, 70), EditCosts(table(2, 2)), EditCosts(open=40_000))
+    with monkeypatch.context() as m:
+        m.setattr(D, "_edits_by_table", None)  # none of these asks for the table
+        for costs in plain:
+            for together in (1, 9, 256):
+                assert D.local_edits(pairs, costs, together) == [D.local_edit(a, b, costs) for a, b in pairs]
+    odd = tuple(tuple(-1 if x == y else 2 + abs(x - y) for y in range(4)) for x in range(4))
+    for costs in (EditCosts(odd), EditCosts(table(3, 2)), EditCosts(table(-2000, 900), 1, 1)):
+        assert D.local_edits(pairs, costs) == [D.local_edit(a, b, costs) for a, b in pairs]
+
+
+def test_pairs_of_several_groups_are_scored_at_once(spark):
+    D.register_distance("together", D.Distance(lambda *_: None, many=lambda pairs, c: [len(pairs)] * len(pairs)))
+    reads = spark.createDataFrame([(i, bases(50)) for i in range(40)], "seq_id bigint, bases string")
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "i bigint, j bigint")
+    got = [r.dist for r in D.scored_pairs(pairs, reads, ClusterConfig(distance="together", rc_check=False), filtered=False).collect()]
+    assert len(got) == 780 and round(sum(1 / n for n in got)) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
